@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docmill.llm import bpe, decontaminate, simhash
+from docmill.llm import bpe, decontaminate, langid, quality, sharding, simhash, toxicity
 from docmill.llm.runtime import documents, table
 
 
@@ -17,6 +17,22 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digest(decontaminate.hits(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(toxicity.predict(documents(spark, sf_dir), table(spark, sf_dir, "labels")))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(langid.predict(documents(spark, sf_dir)))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(quality.predict(documents(spark, sf_dir), table(spark, sf_dir, "labels")))
+
+
+def op9_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.sharded(documents(spark, sf_dir)))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip(documents(spark, sf_dir), path, public_tokenizers.PATTERN).drop("n_bytes")
@@ -25,6 +41,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op4_toxicity": op4_toxicity,
+    "op6_language_id": op6_language_id,
+    "op8_quality": op8_quality,
+    "op9_histogram_sort": op9_histogram_sort,
     "op10_byte_bpe": op10_byte_bpe,
 }
 

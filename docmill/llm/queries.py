@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docmill.llm import bpe, decontaminate, langid, quality, sharding, simhash, toxicity
+from docmill.llm import bpe, decontaminate, langid, quality, sharding, simhash, topk, toxicity, urlfilter
 from docmill.llm.runtime import documents, table
 
 
@@ -17,10 +18,18 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digest(decontaminate.hits(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.digest(topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(toxicity.predict(documents(spark, sf_dir), table(spark, sf_dir, "labels")))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.digest(urlfilter.judged(table(spark, sf_dir, "pages")))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(langid.predict(documents(spark, sf_dir)))
 
@@ -41,11 +50,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_exact_top_k": op3_exact_top_k,
     "op4_toxicity": op4_toxicity,
+    "op5_url_filter": op5_url_filter,
     "op6_language_id": op6_language_id,
     "op8_quality": op8_quality,
     "op9_histogram_sort": op9_histogram_sort,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_exact_top_k": topk.ORACLE,
+    "op5_url_filter": urlfilter.ORACLE,
+}

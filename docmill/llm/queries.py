@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import bpe, decontaminate, langid, quality, sharding, simhash, topk, toxicity, urlfilter
+from docmill.llm import bpe, decontaminate, langid, quality, sharding, simhash, topk, toxicity, urlfilter, warc
 from docmill.llm.runtime import documents, table
 
 
@@ -34,6 +34,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(langid.predict(documents(spark, sf_dir)))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.predict(documents(spark, sf_dir), table(spark, sf_dir, "labels")))
 
@@ -54,12 +58,14 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
     "op6_language_id": op6_language_id,
+    "op7_warc": op7_warc,
     "op8_quality": op8_quality,
     "op9_histogram_sort": op9_histogram_sort,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_benchmark_decontamination": decontaminate.ORACLE,
     "op3_exact_top_k": topk.ORACLE,
     "op5_url_filter": urlfilter.ORACLE,
 }

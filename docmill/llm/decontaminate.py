@@ -30,6 +30,8 @@ from docmill.llm.runtime import utf8, written
 
 WINDOW = 13
 GROUP_BYTES = 4 << 20
+#: Groups whose automata a task holds at once when it rewrites texts.
+MOST_GROUPS = 4
 #: Lower-cases A-Z and blanks the ASCII characters that are neither letters nor digits.
 FOLD = bytes((b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256))
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -251,22 +253,23 @@ def judged(found: DataFrame, share: int = 20) -> DataFrame:
 
 def cleaned(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, share: int = 20, limit: int = GROUP_BYTES,
+    window: int = WINDOW, share: int = 20, limit: int = GROUP_BYTES, cut: bool = True,
 ) -> DataFrame:
     """``docs`` without contaminated rows, and the others without the spans that are hit.
 
-    A document goes if its hits reach the coverage limit; else spans of a window
-    or more are cut out of its text.  Columns stay as they are.
+    A document goes if its hits reach the coverage limit (1 in ``share`` words);
+    else, with ``cut``, the hit spans are cut out of its text.  Columns stay as
+    they are.
     """
     groups = list(groups_of(benchmark, item_col, item_text, limit)) or [[]]
-    names = docs.columns
-    at = names.index(text_col)
+    if len(groups) > MOST_GROUPS:
+        raise ValueError(f"over {MOST_GROUPS} groups of items: use hits() and join its result")
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata: list[Automaton] | None = None
+        automata = [Automaton([(i, words_of(t)) for i, (_, t) in enumerate(g)], window) for g in groups]
         for batch in batches:
             keep, texts = [], []
-            automata = automata or [Automaton([(i, words_of(t)) for i, (_, t) in enumerate(g)], window) for g in groups]
             for x in batch.column(at):
                 value = x.as_py()
                 data = value.encode() if value is not None else b""
@@ -274,14 +277,19 @@ def cleaned(
                 spans = merged([s for a in automata for s in a.stream(words)[0]])
                 n = sum(b - a for a, b in spans)
                 keep.append(not (n and share * n >= len(words)))
-                texts.append(value if not n else without(data, spans).decode("utf-8", "replace"))
+                texts.append(value if not n or not cut else without(data, spans).decode("utf-8", "replace"))
             columns = list(batch.columns)
             columns[at] = pa.array(texts, batch.column(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
+def kept(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``docs`` without contaminated rows, the others as they are."""
+    return cleaned(docs, benchmark, cut=False, **options)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The digest columns of :func:`hits`."""
     return judged(found).select(

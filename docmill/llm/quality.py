@@ -167,6 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
 
 def scored(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The ``keep`` columns with ``score`` and ``predicted`` for every whole text (null counts as empty)."""
+    keep = [c for c in keep if c != "score"]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +182,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text
             made = np.concatenate(score) if score else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.float64())], [*keep, "score"])
 
-    out = docs.select(*keep, utf8(text_col)).mapInArrow(run, ", ".join(x for x in (ddl, "score double") if x))
+    out = docs.select(*keep, utf8(text_col).alias("bytes_")).mapInArrow(run, ", ".join(x for x in (ddl, "score double") if x))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

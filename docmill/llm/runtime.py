@@ -81,9 +81,10 @@ def map_texts(
 
     ``per_text`` is called once a task and returns the function, so that models
     are unpacked where they are used.  ``fields`` is the DDL of the columns that
-    the function's tuple fills, called ``names``.
+    the function's tuple fills, called ``names``; kept columns of these names
+    are replaced.
     """
-    keep = list(keep)
+    keep = [c for c in keep if c not in names]
     ddl = ", ".join(x for x in (_ddl(df, keep), fields) if x)
     types = _arrow_types(df.sparkSession, fields)
 
@@ -96,7 +97,7 @@ def map_texts(
             made = [pa.array([r[i] for r in rows], types[i]) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns + made, keep + names)
 
-    return df.select(*keep, utf8(text)).mapInArrow(run, ddl)
+    return df.select(*keep, utf8(text).alias("bytes_")).mapInArrow(run, ddl)
 
 
 def _ddl(df: DataFrame, keep: list[str]) -> str:

@@ -140,4 +140,5 @@ def part_header(name: Column, number: Column, count: Column, start: Column, end:
 
 def outline(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """A row a heading: ``(key, level, text, line_number)``."""
-    return with_headings(docs, text).select(key, F.inline("headings"))
+    # inline_outer: the filter that Spark derives from inline would be pushed below and work out the headings again
+    return with_headings(docs, text).select(key, F.inline_outer("headings")).where("line_number is not null")

@@ -172,7 +172,7 @@ y AS (SELECT x.doc_id, level, title, start_line, end_line, trim(coalesce(string_
 SELECT doc_id, title, CAST(level AS INTEGER) AS level, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, sha256(content) AS content_sha256 FROM y WHERE title IS NOT NULL OR content <> '' OR doc_id NOT IN (SELECT doc_id FROM p)""")
 def text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", headed(F.col("text")).alias("t"))
-    found = structure.with_headings(rows, "t").select("doc_id", F.inline(structure.sections(F.col("t"), F.col("lines"), F.col("headings"))))
+    found = structure.with_headings(rows, "t").select("doc_id", F.inline_outer(structure.sections(F.col("t"), F.col("lines"), F.col("headings")))).where("start_line is not null")
     return found.select("doc_id", "title", "level", "start_line", "end_line", F.sha2("content", 256).alias("content_sha256"))
 
 

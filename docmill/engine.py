@@ -14,6 +14,7 @@ from docmill.functions.formats import FORMATS
 from docmill.functions.text import rule_report
 from docmill.operators import blocks, email, packing, structure
 from docmill.operators.reports import catalogue
+from docmill.plans.shipping import ship
 from docmill.plans.storage import written
 from docmill.sinks import parts as sink
 
@@ -77,6 +78,7 @@ def convert(spark: SparkSession, path: str, out: str, settings: Settings | None
     """Convert a file into ``out`` (which must be empty or new); returns the report that is also written."""
     settings = settings or Settings()
     kind = resolve(path)
+    ship(spark)
     tell = progress or (lambda stage: None)
     started = datetime.now(UTC)
     ready = sink.prepare(out, READY)

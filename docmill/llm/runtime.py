@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -10,46 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.plans.storage import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where neither the session nor the context names one (tests, a local
-    session) a temporary folder is made and set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext._jsc.sc()
-    if not named and context.getCheckpointDir().isDefined():
-        named = context.getCheckpointDir().get()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="docmill-shared-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+__all__ = ["documents", "fresh_path", "map_texts", "remainder", "shared_dir", "table", "utf8", "written"]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/docmill/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs the tasks it ran, never the
-    steps before the table.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system, whatever store it is in."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 

@@ -33,7 +33,8 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The document with the smallest id of each group; repeated rows of it count once."""
     groups = simhash.near_duplicates(docs.select("doc_id", "text"))
     kept = written(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    # by sort-merge whatever the sizes: the kept ids grow with the corpus, so no broadcast of them
+    out = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
     return out.dropDuplicates(["doc_id"]) if not kept.where("n > 1").isEmpty() else out
 
 

@@ -121,8 +121,8 @@ def exact_top_k(
     Candidates are all rows with another id; ties go to the smaller id, and fewer
     candidates give fewer rows.  Components are floor(scale * x); vectors that
     are null or hold null or non-finite components, and rows with a null id, take
-    no part.  Vectors of different length meet zeros; empty vectors score 0.  A
-    query row that is repeated is answered once; repeated candidates stand as
+    no part.  Vectors of different length meet zeros; empty vectors score 0, and
+    scores beyond the range of a bigint saturate.  A query row that is repeated is answered once; repeated candidates stand as
     often as they occur.
     """
     marked = vectors.select(F.col(id_col), F.col(vector_col), F.coalesce(is_query, F.lit(False)).alias("query_"))

@@ -169,9 +169,14 @@ def test_top_k_against_brute_force(spark, kind):
     elif kind == "few":
         rows = [(0, [1.0]), (1, [2.0]), (2, [-3.0])]
     elif kind == "huge":
-        rows = [(i, [float(np.float32(3e4 * (i + 1))), 1.0]) for i in range(120)]
+        rows = [(i, [float(np.float32(1e4 * (i + 1))), 1.0]) for i in range(120)]
     else:
         rows = []
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("norm", F.lit("clash"))
     got = topk.digest(topk.exact_top_k(frame, F.col("vec_id") % 100 == 0)).collect()
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == brute_top(rows)
+
+
+def test_products_saturate_beyond_a_bigint():
+    a = np.array([[2.0**40, 1.0]])
+    assert topk.products(a, np.array([[2.0**40, 0.0], [-(2.0**40), 0.0], [2.0**20, 3.0]])).tolist() == [[topk.TOP, -topk.TOP - 1, 2**60 + 3]]

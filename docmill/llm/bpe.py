@@ -12,15 +12,17 @@ Decoding concatenates up the same kind of tree.
 
 Two shortcuts change no result.  A single space between two non-spaces always
 starts a match (the pattern's only way past it begins there), so a text is cut
-at such spaces and the encoding of every such chunk is remembered by a task, up
+at such spaces and the encoding of every such chunk is remembered by a worker, up
 to ``REMEMBER`` chunks.  Pairs of tokens found to agree are remembered likewise.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import itertools
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -31,8 +33,8 @@ from docmill.llm.runtime import map_texts
 
 #: Bytes of a leaf, encoded by plain merging.
 LEAF = 8
-#: Remembered chunks, and remembered leaves and token pairs, a task; the older half goes when that many are exceeded.
-REMEMBER = 200_000
+#: Remembered chunks, and as many pieces, leaves and token pairs, a worker; the older half goes when that many are exceeded.
+REMEMBER = 300_000
 #: The rank of what is no token.
 NONE = 1 << 60
 
@@ -54,6 +56,7 @@ class Encoder:
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.pieces = regex.compile(pattern).findall
         self.chunks: dict[str, bytes] = Memory()
+        self.whole: dict[str, list[int]] = Memory()
         self.leaves: dict[bytes, list[int]] = Memory()
         self.agreed: dict[tuple[int, int], bool] = Memory()
 
@@ -119,9 +122,15 @@ class Encoder:
     def chunk(self, text: str) -> bytes:
         """Encode a chunk of whole matches; ids as little-endian unsigned 32-bit integers."""
         ids: list[int] = []
+        known = self.whole
         for p in self.pieces(text):
-            ids += self.piece(p.encode())
-        return np.array(ids, "<u4").tobytes()
+            found = known.get(p)
+            if found is None:
+                found = self.piece(p.encode())
+                if len(p) <= 64:
+                    known[p] = found
+            ids += found
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as little-endian unsigned 32-bit integers."""
@@ -147,6 +156,12 @@ class Encoder:
         return parts[0]
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str, pattern: str) -> Encoder:
+    """The encoder of a Python worker: what it remembers serves the worker's next tasks too."""
+    return Encoder(path, pattern)
+
+
 def chunks_of(text: str) -> list[str]:
     """Cut before every single space that stands between two characters that are no white space.
 
@@ -179,7 +194,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
     """``docs`` with a column of token ids (``array<int>``) for every whole text; null text: null."""
 
     def start() -> Callable:
-        encoder = Encoder(path, pattern)
+        encoder = encoder_of(path, pattern)
         return lambda data: (None if data is None else np.frombuffer(encoder.encode(data.decode()), "<u4").astype(np.int32),)
 
     names = [c for c in docs.columns if c != to]
@@ -195,7 +210,7 @@ def detokenized(tokens: DataFrame, path: str, pattern: str, ids_col: str = "toke
     at = keep.index(ids_col)
 
     def run(batches):
-        encoder = Encoder(path, pattern)
+        encoder = encoder_of(path, pattern)
         for batch in batches:
             texts = [None if x is None else encoder.decode(np.array(x, "<u4").tobytes()).decode("utf-8", "replace") for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*keep, to])
@@ -210,7 +225,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     """
 
     def start() -> Callable:
-        encoder = Encoder(path, pattern)
+        encoder = encoder_of(path, pattern)
 
         def both(data: bytes | None) -> tuple:
             ids = encoder.encode((data or b"").decode())

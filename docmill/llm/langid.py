@@ -9,24 +9,26 @@ wins.  Where the runner-up's loss is nearly as small, the text is flagged as
 ambiguous.
 
 Training takes at most ``PER_LANGUAGE`` texts a language, those first in a
-hashed order, and the first ``TRAIN_BYTES`` of each; prediction uses whole texts.
+hashed order.  Training and prediction use whole texts: the tasks reduce each
+sampled text to the counts of its hashed n-grams, which are bounded by the
+number of buckets, and only these go to the driver.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.runtime import map_texts, remainder, utf8
 
 PER_LANGUAGE = 300
-TRAIN_BYTES = 2000
 MOST_LANGUAGES = 400
 BUCKET_BITS = 16
 #: Bytes scored at a time.
@@ -60,6 +62,16 @@ def grams(text: bytes) -> np.ndarray:
     return np.concatenate(out)
 
 
+def gram_counts(data: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a whole text's n-grams, in order, and how many fall into each; empty without letters."""
+    text = normalized(data)
+    total = np.zeros(1 << BUCKET_BITS, np.int64)
+    for i in range(0, len(text), BLOCK):
+        total += np.bincount(grams(text[i : i + BLOCK + 3]), minlength=len(total))
+    used = np.flatnonzero(total)
+    return used, total[used]
+
+
 def codewords(n: int) -> np.ndarray:
     """The codewords of ``n`` languages, a row each."""
     if n < 2:
@@ -98,16 +110,14 @@ class Model:
         return score
 
 
-def fit(rows: list[tuple[str, bytes]], rounds: int = 80, decay: float = 1e-5) -> Model:
-    """Train the bit classifiers on (language, text) rows by full-batch logistic gradient steps (Adam)."""
-    languages = sorted({lang for lang, _ in rows})
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], rounds: int = 80, decay: float = 1e-5) -> Model:
+    """Train the bit classifiers on (language, buckets, counts) rows by full-batch logistic gradient steps (Adam)."""
+    languages = sorted({lang for lang, *_ in rows})
     code = codewords(len(languages))
     index = {x: i for i, x in enumerate(languages)}
     ids, values, starts, labels = [], [], [0], []
-    for lang, data in rows:
-        text = normalized(data)
-        if text:
-            g, n = np.unique(grams(text), return_counts=True)
+    for lang, g, n in rows:
+        if len(g):
             ids.append(g)
             values.append(SCALE * n / n.sum())
             starts.append(starts[-1] + len(g))
@@ -136,6 +146,14 @@ def fit(rows: list[tuple[str, bytes]], rounds: int = 80, decay: float = 1e-5) ->
     return Model(languages, code, weights, bias)
 
 
+def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column's texts as their buckets (16 bits each) and counts."""
+    for batch in batches:
+        found = [gram_counts(x.as_py()) for x in batch.column(batch.num_columns - 1)]
+        made = [pa.array([c[i].astype(t).tobytes() for c in found], pa.binary()) for i, t in enumerate((np.uint16, np.uint32))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], "g", "n"])
+
+
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on the usable rows with a language: a bounded sample, even over languages.
 
@@ -147,14 +165,15 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
         return fit([])
     share = F.coalesce(*[F.when(F.col(lang_col) == k, min(1.0, 1.2 * PER_LANGUAGE / n)) for k, n in counts.items()], F.lit(0.0))
     ticket = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string")), 11) / F.lit(float(1 << 53))
-    sample = known.where(ticket < share).select(F.col(lang_col).cast("string").alias("l"), F.substring(utf8(text_col), 1, TRAIN_BYTES).alias("t"), ticket.alias("k"))
-    first = sample.orderBy("k", "l", "t").limit(int(1.5 * PER_LANGUAGE * len(counts)) + 100)
+    texts = known.where(ticket < share).select(F.col(lang_col).cast("string").alias("l"), ticket.alias("k"), F.xxhash64(text_col).alias("h"), utf8(text_col).alias("t"))
+    sample = texts.mapInArrow(_reduced, "l string, k double, h bigint, g binary, n binary")
+    first = sample.orderBy("k", "l", "h").limit(int(1.5 * PER_LANGUAGE * len(counts)) + 100)
     taken: Counter = Counter()
     rows = []
     for r in first.collect():
         if taken[r.l] < PER_LANGUAGE:
             taken[r.l] += 1
-            rows.append((r.l, bytes(r.t)))
+            rows.append((r.l, np.frombuffer(r.g, np.uint16), np.frombuffer(r.n, np.uint32)))
     return fit(rows)
 
 

@@ -75,6 +75,14 @@ def test_languages_on_held_out_rows(spark):
     assert all(by[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in truth)
 
 
+def test_languages_are_learned_from_whole_texts(spark):
+    opening = "lorem ipsum dolor sit amet " * 120  # the same in all documents
+    rows = [(i, opening + t * 60, *more) for i, t, *more in corpus(120)]
+    held = [r for r in langid.predict(spark.createDataFrame(rows, DOCS)).collect() if r.held_out]
+    truth = {r[0]: r[2] for r in rows}
+    assert held and sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.95 * len(held)
+
+
 def test_nothing_to_learn_from(spark):
     frame = spark.createDataFrame([(1, "abc", None, "c", "c")], DOCS)
     assert [r.lang_pred for r in langid.predict(frame).collect()] == ["und"]

@@ -239,10 +239,22 @@ def oversize_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN contains(t, ' ') THEN length(t) - instr(reverse(t), ' ') + 1 END AS c FROM w)
 SELECT doc_id, CAST(CASE WHEN a >= n // 2 THEN a WHEN b >= n // 2 THEN b WHEN c >= n // 2 THEN c ELSE n END AS INTEGER) AS cut FROM f""")
 def preferred_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The break of each document's first window; ``preferred_breaks_whole`` cuts whole texts."""
     window = F.substring("text", 1, 400)
     return table(spark, sf_dir, "documents").select("doc_id", tx.preferred_break(window, F.length(window)).alias("cut"))
 
 
+@query("""WITH RECURSIVE p AS (SELECT doc_id, text, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS cut FROM documents
+ UNION ALL SELECT doc_id, text, start, CASE WHEN a >= n // 2 THEN a WHEN b >= n // 2 THEN b WHEN c >= n // 2 THEN c ELSE n END FROM (SELECT doc_id, text, start, length(t) AS n,
+  CASE WHEN contains(t, chr(10) || chr(10)) THEN length(t) - instr(reverse(t), chr(10) || chr(10)) + 1 END AS a, CASE WHEN contains(t, chr(10)) THEN length(t) - instr(reverse(t), chr(10)) + 1 END AS b,
+  CASE WHEN contains(t, ' ') THEN length(t) - instr(reverse(t), ' ') + 1 END AS c
+  FROM (SELECT doc_id, text, start + cut AS start, substr(text, start + cut + 1, 400) AS t FROM p WHERE start + cut < length(text))))
+SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(cut AS INTEGER) AS cut FROM p WHERE cut > 0""")
+def preferred_breaks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All breaks of whole texts, each window starting at the last cut."""
+    return packing.breaks(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 400)
+
+
 # -- blocks -----------------------------------------------------------------------------
 BLOCKS_SQL = """WITH l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS text, unnest(range(0, len(string_split(text, chr(10))))) AS idx FROM documents),
 b AS (SELECT doc, CAST(idx AS INTEGER) AS idx, text, CASE WHEN (idx + doc) % 3 = 0 THEN CAST(1 + (idx * 7 + doc) % 4 AS INTEGER) END AS level, CASE WHEN (idx + doc) % 3 = 0 THEN 'heading' WHEN (idx // 2 + doc) % 2 = 0 THEN 'list_item' ELSE 'paragraph' END AS kind FROM l)"""

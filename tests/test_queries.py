@@ -52,3 +52,17 @@ def test_segments_fit_and_cover(spark):
         parts.sort(key=lambda r: r.segment)
         assert "".join(texts[k][r.start : r.start + r.length] for r in parts) == texts[k]
         assert all(r.oversized or len(texts[k][r.start : r.start + r.length].encode()) <= 3000 for r in parts)
+
+
+def test_breaks_use_whole_texts_up(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    by = {}
+    for r in catalog.QUERIES["preferred_breaks_whole"](spark, FOLDER).collect():
+        by.setdefault(r.doc_id, []).append((r.start, r.cut))
+    assert any(len(t) > 400 for t in texts.values())
+    for k, text in texts.items():
+        at = 0
+        for start, cut in sorted(by.get(k, [])):
+            assert start == at and 0 < cut <= 400
+            at += cut
+        assert at == len(text)

@@ -1,7 +1,7 @@
 """A corpus pipeline over ``documents``: five stages, each written as Parquet and reread by the next.
 
 Language identification drops documents without letters, quality those voted
-low, near-dedup keeps the document with the smallest id of each group of near
+low, near-dedup keeps one row, that with the smallest id, of each group of near
 copies, decontamination drops documents that benchmark passages cover, and the
 rest is encoded (and decoded) by byte-level BPE.
 """
@@ -30,12 +30,17 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; repeated rows of it count once."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = written(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    # by sort-merge whatever the sizes: the kept ids grow with the corpus, so no broadcast of them
-    out = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if not kept.where("n > 1").isEmpty() else out
+    """One row of each group: that with the smallest id (null ids last), of several such rows the first by row number.
+
+    Rows are told apart by a number fixed in a written table, not by their ids,
+    which may be null or repeated.
+    """
+    numbered = written(docs.withColumn("row_", F.monotonically_increasing_id()), "numbered")
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col("row_").alias("row"))
+    groups = simhash.near_duplicates(numbered.select(key.alias("key"), "text"), "key")
+    kept = groups.where("key = component_id").select(F.col("key.row").alias("row_"))
+    # by sort-merge whatever the sizes: the kept rows grow with the corpus, so no broadcast of them
+    return numbered.join(kept.hint("merge"), "row_", "left_semi").select(docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

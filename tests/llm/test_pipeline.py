@@ -45,3 +45,16 @@ def test_stages_return_the_columns_of_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).dtypes == docs.dtypes
+
+
+def test_near_dedup_keeps_one_row_a_group_whatever_the_ids(spark):
+    rng = random.Random(5)
+    a, b, c, d, e, f = (" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(6))
+    # null ids with texts of their own, a null-id copy of a document, an id with two texts, a repeated row
+    rows = [(None, a), (None, b), (1, c), (None, c), (2, d), (2, e), (3, f), (3, f), (4, a + " z"), (5, e)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], COLUMNS)
+    near = lambda s, t: (simhash.fingerprint(s.encode()) ^ simhash.fingerprint(t.encode())).bit_count() <= 4
+    assert not any(near(s, t) for x, s in enumerate((a, b, c, d, e, f)) for t in (a, b, c, d, e, f)[:x])
+    got = sorted(map(repr, ((r.doc_id, r.text) for r in corpus_pipeline.deduplicated(spark, docs, "").collect())))
+    first = [(4, a + " z")] if near(a, a + " z") else [(None, a), (4, a + " z")]
+    assert got == sorted(map(repr, [*first, (None, b), (1, c), (2, d), (2, e), (3, f)]))

@@ -18,6 +18,7 @@ the hits are merged by document.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from docmill.llm.runtime import utf8, written
 
 WINDOW = 13
 GROUP_BYTES = 4 << 20
-#: Groups whose automata a task holds at once when it rewrites texts.
+#: Groups whose automata a task holds at once when it rewrites texts; more are scanned one by one.
 MOST_GROUPS = 4
 #: Lower-cases A-Z and blanks the ASCII characters that are neither letters nor digits.
 FOLD = bytes((b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256))
@@ -259,11 +260,12 @@ def cleaned(
 
     A document goes if its hits reach the coverage limit (1 in ``share`` words);
     else, with ``cut``, the hit spans are cut out of its text.  Columns stay as
-    they are.
+    they are.  Up to ``MOST_GROUPS`` groups of items are held by a task at once;
+    of more, each is a scan of its own and the hits are merged by row.
     """
-    groups = list(groups_of(benchmark, item_col, item_text, limit)) or [[]]
+    groups = list(itertools.islice(groups_of(benchmark, item_col, item_text, limit), MOST_GROUPS + 1)) or [[]]
     if len(groups) > MOST_GROUPS:
-        raise ValueError(f"over {MOST_GROUPS} groups of items: use hits() and join its result")
+        return _cleaned_by_group(docs, benchmark, text_col, item_col, item_text, window, share, limit, cut)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,6 +287,31 @@ def cleaned(
     return docs.mapInArrow(run, docs.schema)
 
 
+def _cleaned_by_group(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, window: int, share: int, limit: int, cut: bool) -> DataFrame:
+    """:func:`cleaned` by way of :func:`hits`, whatever the number of groups."""
+    row, spans = "row_", "spans_"
+    while row in docs.columns or spans in docs.columns:
+        row, spans = row + "_", spans + "_"
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = judged(hits(numbered, benchmark, row, text_col, item_col, item_text, window, limit), share)
+    left = numbered.join(found.where("not contaminated").select(row, F.col("spans").alias(spans)).hint("merge"), row).drop(row)
+    if not cut:
+        return left.drop(spans)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for x, y in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True):
+                value, flat = x.as_py(), y.as_py()
+                texts.append(without(value.encode(), [flat[j : j + 2] for j in range(0, len(flat), 2)]).decode("utf-8", "replace") if flat else value)
+            columns = list(batch.columns[:-1])
+            columns[at] = pa.array(texts, batch.column(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return left.mapInArrow(run, docs.schema)
+
+
 def kept(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without contaminated rows, the others as they are."""
     return cleaned(docs, benchmark, cut=False, **options)

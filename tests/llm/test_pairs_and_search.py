@@ -147,6 +147,15 @@ def test_spans_are_cut_and_covered_documents_go(spark):
     assert decontaminate.hits(docs.limit(0), bench.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("cut", [True, False])
+def test_many_groups_of_items_clean_like_one(spark, cut):
+    docs, bench = spark.createDataFrame([*CASES, (None, "clean", "d", 0.0), (None, "clean", "d", 0.0)], DOCS), spark.createDataFrame(BENCH, "item_id long, text string")
+    assert len(list(decontaminate.groups_of(bench, "item_id", "text", 1))) > decontaminate.MOST_GROUPS
+    one, many = (decontaminate.cleaned(docs, bench, limit=limit, cut=cut) for limit in (decontaminate.GROUP_BYTES, 1))
+    assert many.dtypes == docs.dtypes
+    assert Counter(map(tuple, many.collect())) == Counter(map(tuple, one.collect()))
+
+
 def brute_top(rows, k=10):
     ok = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = set()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions import text as tx
@@ -85,7 +85,8 @@ KIND_SQL = """CASE WHEN v = '' THEN 'empty' WHEN lower(v) IN ('true', 'sim', 'ye
  WHEN regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2})?$') AND TRY_CAST(v AS TIMESTAMP) IS NOT NULL THEN 'datetime' WHEN regexp_matches(v, '^([01][0-9]|2[0-3]):[0-5][0-9]$') THEN 'time' ELSE 'string' END"""
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cells(spark: SparkSession, sf_dir: str, pick: Column | None = None) -> DataFrame:
+    """A cell of each event; ``pick`` is the number of its value, by default the id modulo 16."""
     i = F.col("event_id")
     two = lambda n: F.format_string("%02d", i % n)
     values = [
@@ -93,7 +94,7 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("2026-01-05T10:"), two(60), F.lit(":00")), F.concat(two(30), F.lit(":15")), F.lit(""), F.concat(F.lit("  "), "event_type", F.lit("  ")),
         F.lit("+7"), F.lit("TRUE"), F.lit("1e5"), F.lit("2026-01-05 99:00"), F.lit("007.5"),
     ]
-    raw = F.element_at(F.array(*values), (i % 16 + 1).cast("int"))
+    raw = F.element_at(F.array(*values), ((i % 16 if pick is None else pick) + 1).cast("int"))
     return table(spark, sf_dir, "events").select(F.lit("events").alias("dataset"), i.alias("row_no"), (i % 7).alias("col_no"), raw.alias("raw"))
 
 
@@ -128,6 +129,31 @@ def demoted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabular.demoted(tabular.typed_cells(_lattice_cells(spark, sf_dir))).groupBy("col_no", "kind").agg(F.count("*").alias("n"))
 
 
+# The same mixtures of kinds a column over all events: each takes its column's next value.
+WHOLE_KINDS = [(4, 5, 9), (4, 9), (6, 7), (0, 4), (9,), tuple(range(16)), (0, 1)]
+PICK_SQL = "CASE event_id % 7 " + " ".join(f"WHEN {col} THEN {list(ks)}[event_id // 7 % {len(ks)} + 1]" for col, ks in enumerate(WHOLE_KINDS)) + " END"
+LATTICE_WHOLE_SQL = f"""WITH c AS (SELECT event_id, col_no, trim(raw) AS v FROM ({CELL_SQL.replace("CASE event_id % 16", f"CASE {PICK_SQL}")})),
+k AS (SELECT col_no, {KIND_SQL} AS kind FROM c), g AS (SELECT col_no, count(*) AS rows, bool_or(kind = 'empty') AS nullable, list_sort(list(DISTINCT kind) FILTER (kind <> 'empty')) AS ks FROM k GROUP BY col_no)"""
+
+
+def _whole_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, pick = F.col("event_id"), F.lit(None)
+    for col, ks in enumerate(WHOLE_KINDS):
+        pick = F.when(i % 7 == col, F.element_at(F.array(*map(F.lit, ks)), (F.floor(i / 7) % len(ks) + 1).cast("int"))).otherwise(pick)
+    return _cells(spark, sf_dir, pick)
+
+
+@query(LATTICE_WHOLE_SQL + f" SELECT col_no, {TYPE_SQL} AS inferred_type, nullable, rows FROM g")
+def column_lattice_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tabular.column_types(tabular.typed_cells(_whole_cells(spark, sf_dir))).select("col_no", "inferred_type", "nullable", "rows")
+
+
+@query(LATTICE_WHOLE_SQL + f""", t AS (SELECT col_no, {TYPE_SQL} AS ty FROM g), q AS (SELECT c.col_no, {KIND_SQL} AS kind FROM c)
+SELECT q.col_no, CASE WHEN ty = 'string' AND kind <> 'empty' THEN 'string' ELSE kind END AS kind, count(*) AS n FROM q JOIN t USING (col_no) GROUP BY ALL""")
+def demoted_cells_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tabular.demoted(tabular.typed_cells(_whole_cells(spark, sf_dir))).groupBy("col_no", "kind").agg(F.count("*").alias("n"))
+
+
 @query("""WITH h AS (SELECT CAST(p_size AS BIGINT) AS dataset, p_partkey AS col_no, CASE p_partkey % 5 WHEN 0 THEN p_brand WHEN 1 THEN 'Código é ' || (p_partkey % 3) WHEN 2 THEN '' ELSE p_type END AS source_name FROM part),
 b AS (SELECT *, trim(lower(regexp_replace(strip_accents(source_name), '[^a-zA-Z0-9]+', '_', 'g')), '_') AS base FROM h), c AS (SELECT dataset, col_no, source_name, CASE WHEN base = '' THEN 'coluna_' || col_no ELSE base END AS base FROM b),
 n AS (SELECT *, row_number() OVER (PARTITION BY dataset, base ORDER BY col_no) AS k FROM c) SELECT dataset, col_no, source_name, CASE WHEN k = 1 THEN base ELSE base || '_' || k END AS name FROM n""")
@@ -184,7 +210,16 @@ def formula_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_custkey % 100 AS sheet, count(*) AS formulas, count(*) FILTER (o_totalprice < 100000) AS without_cache FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL""")
 def cached_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formula cells with the cached value of the same place (the zip of two loads as an equi-join)."""
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 3 == 0)
+    return _cached(table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 3 == 0))
+
+
+@query("""SELECT o_custkey % 100 AS sheet, count(*) AS formulas, count(*) FILTER (o_totalprice < 100000) AS without_cache FROM orders GROUP BY ALL""")
+def cached_values_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with all orders as formula cells."""
+    return _cached(table(spark, sf_dir, "orders"))
+
+
+def _cached(orders: DataFrame) -> DataFrame:
     formulas = orders.select((F.col("o_custkey") % 100).alias("sheet"), F.col("o_orderkey").alias("row_no"))
     cached = orders.where("o_totalprice >= 100000").select((F.col("o_custkey") % 100).alias("sheet"), F.col("o_orderkey").alias("row_no"), F.col("o_totalprice").alias("value"))
     return formulas.join(cached, ["sheet", "row_no"], "left").groupBy("sheet").agg(F.count("*").alias("formulas"), F.count_if(F.col("value").isNull()).alias("without_cache"))

@@ -66,3 +66,10 @@ def test_breaks_use_whole_texts_up(spark):
             assert start == at and 0 < cut <= 400
             at += cut
         assert at == len(text)
+
+
+def test_cells_and_formulas_of_all_rows(spark):
+    total = lambda name, column: sum(r[column] for r in catalog.QUERIES[name](spark, FOLDER).collect())
+    events, orders = (spark.read.parquet(f"{FOLDER}/{t}.parquet").count() for t in ("events", "orders"))
+    assert total("column_lattice_whole", "rows") == total("demoted_cells_whole", "n") == events
+    assert total("cached_values_whole", "formulas") == orders

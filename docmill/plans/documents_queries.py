@@ -137,6 +137,11 @@ def headed(c: Column) -> Column:
     )
 
 
+def headed_whole(c: Column) -> Column:
+    """Like :func:`headed`, with the text kept after the constant lines of case 4 too."""
+    return F.when(F.pmod("doc_id", F.lit(6)) == 4, F.concat(headed(c), c)).otherwise(headed(c))
+
+
 LINES_SQL = f"""WITH t AS (SELECT doc_id, {HEADED_SQL} AS body FROM documents),
 s AS (SELECT doc_id, body, CASE WHEN body LIKE '%' || chr(10) THEN string_split(body[:-2], chr(10)) ELSE string_split(body, chr(10)) END AS ls FROM t),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS n FROM s),
@@ -159,7 +164,10 @@ h AS (SELECT doc_id, n AS line_number,
 
 @query(LINES_SQL + " SELECT doc_id, CAST(level AS INTEGER) AS level, title, CAST(line_number AS INTEGER) AS line_number FROM h")
 def text_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", headed(F.col("text")).alias("t"))
+    return _headings(table(spark, sf_dir, "documents").select("doc_id", headed(F.col("text")).alias("t")))
+
+
+def _headings(rows: DataFrame) -> DataFrame:
     return structure.outline(rows, "doc_id", "t").withColumnRenamed("text", "title")
 
 
@@ -171,7 +179,10 @@ x AS (SELECT e.doc_id, level, title, line_number AS start_line, end_line, line_n
 y AS (SELECT x.doc_id, level, title, start_line, end_line, trim(coalesce(string_agg(l.line, chr(10) ORDER BY l.n), ''), ' ' || chr(10)) AS content FROM x LEFT JOIN l ON l.doc_id = x.doc_id AND l.n BETWEEN x.b AND x.end_line GROUP BY ALL)
 SELECT doc_id, title, CAST(level AS INTEGER) AS level, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, sha256(content) AS content_sha256 FROM y WHERE title IS NOT NULL OR content <> '' OR doc_id NOT IN (SELECT doc_id FROM p)""")
 def text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", headed(F.col("text")).alias("t"))
+    return _sections(table(spark, sf_dir, "documents").select("doc_id", headed(F.col("text")).alias("t")))
+
+
+def _sections(rows: DataFrame) -> DataFrame:
     found = structure.with_headings(rows, "t").select("doc_id", F.inline_outer(structure.sections(F.col("t"), F.col("lines"), F.col("headings")))).where("start_line is not null")
     return found.select("doc_id", "title", "level", "start_line", "end_line", F.sha2("content", 256).alias("content_sha256"))
 
@@ -183,12 +194,39 @@ b AS (SELECT s.doc_id, any_value(s.body) AS body, coalesce(string_agg(o, chr(10)
 SELECT doc_id, sha256(md || CASE WHEN body LIKE '%' || chr(10) THEN chr(10) ELSE '' END) AS body_sha256,
  '> Fonte: doc' || doc_id || '.txt — parte 1/2 (linhas 1–' || total || ')' AS header FROM b""")
 def markdown_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = structure.with_headings(table(spark, sf_dir, "documents").select("doc_id", headed(F.col("text")).alias("t")), "t")
+    return _markdown(table(spark, sf_dir, "documents").select("doc_id", headed(F.col("text")).alias("t")))
+
+
+def _markdown(texts: DataFrame) -> DataFrame:
+    rows = structure.with_headings(texts, "t")
     name = F.concat(F.lit("doc"), "doc_id", F.lit(".txt"))
     header = structure.part_header(name, F.lit(1), F.lit(2), F.lit(1), F.size("lines"))
     return rows.select("doc_id", F.sha2(structure.markdown_body(F.col("t"), F.col("lines"), F.col("headings")), 256).alias("body_sha256"), header.alias("header"))
 
 
+# The same three over whole texts, those of case 4 included.
+HEADED_WHOLE_SQL = HEADED_SQL.replace("'x' || chr(10)", "'x' || chr(10) || text")
+
+
+def _headed_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", headed_whole(F.col("text")).alias("t"))
+
+
+@query(ORACLES["text_headings"].replace(HEADED_SQL, HEADED_WHOLE_SQL))
+def text_headings_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _headings(_headed_whole(spark, sf_dir))
+
+
+@query(ORACLES["text_sections"].replace(HEADED_SQL, HEADED_WHOLE_SQL))
+def text_sections_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sections(_headed_whole(spark, sf_dir))
+
+
+@query(ORACLES["markdown_body"].replace(HEADED_SQL, HEADED_WHOLE_SQL))
+def markdown_body_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _markdown(_headed_whole(spark, sf_dir))
+
+
 # -- packing and segmentation -----------------------------------------------------------
 def _pack_sql(select: str, limit: int = 20_000) -> str:
     return f"""WITH RECURSIVE o AS (SELECT source, doc_id, strlen(text) + 1 AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),

@@ -73,3 +73,11 @@ def test_cells_and_formulas_of_all_rows(spark):
     events, orders = (spark.read.parquet(f"{FOLDER}/{t}.parquet").count() for t in ("events", "orders"))
     assert total("column_lattice_whole", "rows") == total("demoted_cells_whole", "n") == events
     assert total("cached_values_whole", "formulas") == orders
+
+
+def test_structure_of_whole_texts(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id % 6 = 4").collect()}
+    ends = {}
+    for r in catalog.QUERIES["text_sections_whole"](spark, FOLDER).where("doc_id % 6 = 4").collect():
+        ends[r.doc_id] = max(ends.get(r.doc_id, 0), r.end_line)
+    assert docs and ends == {k: 3 + len((t.removesuffix("\n") if t else "").split("\n")) if t else 3 for k, t in docs.items()}

@@ -7,9 +7,9 @@ the payload's digest.
 
 The reader does not need an index.  Files are cut into byte ranges; a task looks
 for gzip magic from the start of its range, accepts a place as a member only if
-it inflates to a WARC header, and from there goes from member to member.  It owns
-the records that start inside its range, so each is read exactly once wherever
-the cuts lie, and a member may end beyond the range.
+it inflates to a whole WARC header, however long that is, and from there goes
+from member to member.  It owns the records that start inside its range, so each
+is read exactly once wherever the cuts lie, and a member may end beyond the range.
 
 Files are written and read through Arrow's file systems by URI, so any shared
 store it knows will do.  A task writes a file under a name of its own; only
@@ -31,11 +31,11 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.runtime import fresh_path, utf8, written
+from docmill.llm.runtime import fresh_path, looked_up, utf8, written
 
 MAGIC = b"\x1f\x8b\x08"
-#: Bytes of a range, of a read, and of the inflated start that must show a WARC header.
-SPLIT, READ, PROBE = 4 << 20, 1 << 18, 1 << 16
+#: Bytes of a range, of a read, and of what is inflated at a time while a header's end is looked for.
+SPLIT, READ, STEP = 4 << 20, 1 << 18, 1 << 16
 LEVEL = 6
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "urn:docmill:record:"
@@ -75,13 +75,24 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     smallest id is a response, the others revisit it.  Null payloads are empty.
     Rows with a null id revisit a row with one, if there is any with their
     payload, and are responses otherwise; repeated rows of the smallest id are
-    all responses.
+    all responses.  Null urls are empty; urls and payloads may be of any length;
+    further columns play no part, and an empty table gives an empty manifest.
+
+    The first ids are found on digests alone.  Payloads with many copies are known
+    before anything is exchanged, and their copies leave theirs behind.
     """
     rows = pages.select(F.col(id_col).cast("string").alias("rid"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), utf8(F.coalesce(F.col(payload_col), F.lit(""))).alias("payload"))
     rows = rows.withColumn("n", F.octet_length("payload").cast("bigint")).withColumn("sha", F.sha1("payload"))
-    firsts = rows.where(F.col("n") >= least).groupBy("sha", "n").agg(F.min("id").alias("first"))
-    joined = rows.join(firsts, ["sha", "n"], "left")
-    again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
+    firsts = written(rows.groupBy("sha", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "firsts")
+    total = firsts.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+
+    def lighter(found: DataFrame, hot: Column) -> DataFrame:
+        first = F.col("hot_.first")
+        left = hot & (F.col("n") >= least) & first.isNotNull() & ~F.col("id").eqNullSafe(first)
+        return found.withColumn("payload", F.when(~left, F.col("payload")))
+
+    joined = looked_up(rows, firsts, ["sha", "n"], "copies", total, lighter)
+    again = (F.col("n") >= least) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     out = joined.select(
         F.coalesce("rid", F.lit("")).alias("rid"), "url", F.when(~again, F.col("payload")).alias("payload"), "n", "sha", F.when(again, F.col("first").cast("string")).alias("refers")
     )
@@ -122,22 +133,30 @@ class Window:
 
 
 def header_at(window: Window, at: int) -> bool:
-    """Does a gzip member that starts here inflate to the header of a WARC record?"""
-    z, seen, pos = zlib.decompressobj(31), b"", at
+    """Does a gzip member that starts here inflate to the whole header of a WARC record?
+
+    A place that does not begin like a record is given up at once; a header that
+    does is inflated, a step at a time, until the blank line that ends it.
+    """
+    z, seen, pos, data = zlib.decompressobj(31), bytearray(), at, b""
     try:
-        while len(seen) < PROBE and b"\r\n\r\n" not in seen and not z.eof:
-            data = window.read(pos, 4096)
+        while not z.eof:
             if not data:
-                break
-            seen += z.decompress(data, PROBE)
-            pos += len(data)
-            if z.unconsumed_tail:
-                break
-            if seen and not seen.startswith(b"WARC/"[: len(seen)]):
+                data = window.read(pos, 4096 if pos == at else READ)
+                pos += len(data)
+            searched, over = max(0, len(seen) - 3), not data
+            seen += z.flush() if over else z.decompress(data, STEP)
+            data = z.unconsumed_tail
+            if not b"WARC/".startswith(seen[:5]):
                 return False
+            stop = seen.find(b"\r\n\r\n", searched)
+            if stop >= 0:
+                return re.search(rb"(?i)\r\nContent-Length:\s*\d+", bytes(seen[:stop])) is not None
+            if over:
+                break
     except zlib.error:
-        return False
-    return seen.startswith(b"WARC/") and b"\r\n\r\n" in seen and re.search(rb"(?i)\r\nContent-Length:\s*\d+", seen) is not None
+        pass
+    return False
 
 
 def member_at(window: Window, at: int) -> tuple[bytes, int]:
@@ -235,7 +254,10 @@ def read(files: DataFrame, split: int = SPLIT) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:
-    """Write the pages to archives in the shared folder, then read these back; the digest columns."""
+    """Write the pages to archives in the shared folder, then read these back; the digest columns.
+
+    Nulls, repeated rows, very long texts and empty tables: see :func:`write`.
+    """
     id_type = pages.schema["page_id"].dataType
     manifest = write(pages, fresh_path(spark, "warc"), least=least)
     records = read(manifest)
@@ -259,5 +281,3 @@ def base32(hex_: Column) -> Column:
         q = F.conv(F.substring(hex_, 10 * k + 1, 10), 16, 10).cast("bigint")
         parts += [digit(q, i) for i in range(8)]
     return F.concat(*parts)
-
-

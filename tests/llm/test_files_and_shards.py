@@ -4,12 +4,16 @@ import base64
 import gzip
 import hashlib
 import io
+import itertools
+import random
 import re
+import string
+import zlib
 from collections import Counter
 
 import pytest
 
-from docmill.llm import sharding, urlfilter, warc
+from docmill.llm import runtime, sharding, urlfilter, warc
 from docmill.llm.runtime import fresh_path
 
 PAGES = "page_id long, url string, html string, rule string, bytes string"
@@ -89,6 +93,32 @@ def test_damage_costs_one_record():
     assert [h["warc-record-id"] for h, _ in found] == [f"<{warc.RECORD}0>", f"<{warc.RECORD}2>"]
 
 
+@pytest.mark.parametrize("length", [70_000, 1_000_000])
+def test_headers_of_any_length(spark, length):
+    members = [warc.gzipped(warc.record_of("response", str(i), "d", f"http://h/{i}" + "u" * (length if i == 1 else 0), b"p" * 50, 50, "D", None)) for i in range(3)]
+    data = b"".join(members)
+    for cut in (1, len(members[0]) - 1, len(members[0]), len(members[0]) + 1, len(members[0]) + len(members[1]), len(data) - 1):
+        parts = [list(warc.read_range(io.BytesIO(data), len(data), a, b)) for a, b in ((0, cut), (cut, len(data)))]
+        assert [h["warc-record-id"] for p in parts for h, _ in p] == [f"<{warc.RECORD}{i}>" for i in range(3)], cut
+    rng = random.Random(1)  # urls that do not compress, so that a header spans ranges
+    urls = ["http://h/" + "".join(rng.choices(string.ascii_letters, k=length if i % 2 else 9)) for i in range(6)]
+    manifest = warc.write(spark.createDataFrame([(i, u, "x" * i, "c", "c") for i, u in enumerate(urls)], PAGES).coalesce(1), fresh_path(spark, "warc"))
+    for split in (1 << 16, 1 << 22):
+        assert sorted((r.url, bytes(r.payload)) for r in warc.read(manifest, split).collect()) == sorted((u, b"x" * i) for i, u in enumerate(urls))
+
+
+def test_hot_payloads_and_short_ones(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "HOT", 4)
+    rows = [(i, "u", "hot" if i % 3 else f"own {i // 6}", "c", "c") for i in range(60, 0, -1)] + [(None, "u", "hot", "c", "c"), (61, "u", "", "c", "c"), (62, "u", None, "c", "c")]
+    for least in (0, 4):
+        got = {(r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(spark, spark.createDataFrame(rows, PAGES), least=least).collect()}
+        first = {}
+        for i, _, p, *_ in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+            first.setdefault(p or "", i)
+        own = lambda i, p: len(p or "") < least or first[p or ""] == i
+        assert got == {(i, "response" if own(i, p) else "revisit", None if own(i, p) else first[p or ""]) for i, _, p, *_ in rows}
+
+
 def shards_of(spark, rows, **options):
     return sharding.digest(sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string, h string, shard string"), **options)).collect()
 
@@ -107,6 +137,8 @@ def test_shards_are_even_and_slots_gapless(spark, kind):
     }[kind]
     got = shards_of(spark, rows)
     assert Counter((r.doc_id, r.size) for r in got) == Counter((i, len((t or "").encode()) + 1) for i, t, *_ in rows)
+    assert all(r.law == "bytes" and r.grown_shard is None for r in got)
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((i, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
     sizes = Counter()
     for s in range(16):
         mine = [r for r in got if r.shard == s]
@@ -116,3 +148,26 @@ def test_shards_are_even_and_slots_gapless(spark, kind):
     if kind in ("even", "hot", "empty third", "nulls"):
         share, longest = sum(sizes.values()) / 16, max(r.size for r in got)
         assert all(abs(sizes[s] - share) <= 2 * (longest + sharding.TOLERANCE * share) for s in range(16))
+
+
+@pytest.mark.parametrize("cell", [100_000, 40])
+def test_shards_whatever_the_order_of_rows(spark, monkeypatch, cell):
+    monkeypatch.setattr(sharding, "CELL_ROWS", cell)
+    rows = [(i, "same" if i % 3 else f"text {i // 6}", "c", "c") for i in range(600)] + [(i % 7, "twice", "c", "c") for i in range(300)] + [(None, "nobody" if i % 2 else f"n{i}", "c", "c") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, h string, shard string")
+    other = spark.createDataFrame(random.Random(2).sample(rows, len(rows)), frame.schema).repartition(7)
+    got, again = (sharding.digest(sharding.sharded(f, shards=4)).collect() for f in (frame, other))
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again)) and len(got) == len(rows)
+    for s in range(4):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    # equal texts stand together, and are in two shards only where a splitter cuts them
+    runs = [k for k, _ in itertools.groupby((r.shard, r.text_crc32) for r in sorted(got, key=lambda r: (r.shard, r.slot)))]
+    assert len(runs) == len({(r.shard, r.text_crc32) for r in got}) <= len({r.text_crc32 for r in got}) + 3
+    share = sum(r.size for r in got) / 4
+    assert all(abs(sum(r.size for r in got if r.shard == s) - share) <= 2 * (8 + sharding.TOLERANCE * share) for s in range(4))
+
+
+def test_shards_by_other_ids(spark):
+    frame = spark.createDataFrame([(f"id {i % 50}", "t" * (i % 9)) for i in range(200)], "g string, size string")
+    got = sharding.sharded(frame, 3, "g", "size").collect()
+    assert Counter(r.g for r in got) == Counter({f"id {i}": 4 for i in range(50)}) and len({(r.shard, r.slot) for r in got}) == 200

@@ -43,6 +43,34 @@ def test_rules_against_a_plain_reading(spark):
     assert Counter(map(tuple, got)) == Counter((i, *plain_rule(u)) for i, u, *_ in rows)
 
 
+def test_random_rules_longest_first(spark):
+    rng = random.Random(7)
+    labels, ways = ["a", "b", "com", "net"], ["", "/", "/x", "/x/", "/long/path", "/y"]
+    pick = lambda: ".".join(rng.choices(labels, k=rng.randint(1, 4)))
+    rules = [("a.com", "/", "allow"), ("com", "/longpath/", "block")] + [(pick(), rng.choice(ways), rng.choice(["allow", "block"])) for _ in range(60)]
+    urls = ["http://x.a.com/longpath/y"] + [f"http://{pick()}{rng.choice(ways)}{rng.choice(['', '/', 'z?q', '#'])}" for _ in range(300)]
+    frame = spark.createDataFrame([(i, u, None, "c", "c") for i, u in enumerate(urls)], PAGES)
+    want = Counter()
+    last = {(h, p): v for h, p, v in rules}
+    for i, u in enumerate(urls):
+        host, path, *_ = plain_rule(u)
+        fits = [(len(h + p), len(h), h + p, v) for (h, p), v in last.items() if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=(0, 0, None, "allow"))
+        want[i, host, path, best[2], best[3]] += 1
+    assert want[0, "x.a.com", "/longpath/y", "com/longpath/", "block"] == 1
+    for part in (None, 20):
+        assert Counter(map(tuple, urlfilter.judged(frame, rules, part=part).collect())) == want
+    table = spark.createDataFrame([(h, p, v) for (h, p), v in last.items()] + [(None, "/", "block")], "host string, path string, verdict string")
+    assert Counter(map(tuple, urlfilter.judged(frame, table).collect())) == want
+
+
+def test_very_long_hosts(spark):
+    urls = ["http://" + "a." * 500_000 + "net/es/x", "http://" + "b" * 1_000_000 + ".com/" + "p" * 100_000, "http://" + "." * 100_000]
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judged(spark.createDataFrame([(i, u, None, "c", "c") for i, u in enumerate(urls)], PAGES)).collect()}
+    assert got == {0: ("net/es/", "block"), 1: ("com/", "allow"), 2: (None, "allow")}
+    assert urlfilter.judged(spark.createDataFrame([(1, "http://a.net/es/", None, "c", "c")], PAGES), []).collect()[0].verdict == "allow"
+
+
 def test_a_cascade_is_exact_on_its_universe(spark):
     keys = spark.range(3000).selectExpr("concat('k', id) as key")
     listed = keys.where("crc32(key) % 9 = 0")

@@ -8,16 +8,17 @@ loss-weighted: the language whose codeword has the least total logistic loss
 wins.  Where the runner-up's loss is nearly as small, the text is flagged as
 ambiguous.
 
-Training takes at most ``PER_LANGUAGE`` texts a language, those first in a
-hashed order.  Training and prediction use whole texts: the tasks reduce each
-sampled text to the counts of its hashed n-grams, which are bounded by the
-number of buckets, and only these go to the driver.
+All values of the language column are learned, however many.  Training takes at
+most ``PER_LANGUAGE`` texts a language and about ``SAMPLE`` in all (of very many
+languages one each), those first in a hashed order.  Training and prediction use
+whole texts: the tasks reduce each sampled text to the counts of its hashed
+n-grams, which are bounded by the number of buckets, and only these go to the
+driver.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,8 +29,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm.runtime import map_texts, remainder, utf8
 
-PER_LANGUAGE = 300
-MOST_LANGUAGES = 400
+PER_LANGUAGE, SAMPLE = 300, 12_000
 BUCKET_BITS = 16
 #: Bytes scored at a time.
 BLOCK = 1 << 16
@@ -157,31 +157,31 @@ def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on the usable rows with a language: a bounded sample, even over languages.
 
-    At most ``MOST_LANGUAGES`` languages, the most frequent ones, are learned.
+    Repeated rows count once.
     """
-    known = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r.l: r.n for r in known.groupBy(F.col(lang_col).cast("string").alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LANGUAGES).collect()}
+    known = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id_"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"))
+    counts = known.groupBy("l").agg(F.count("*").alias("n")).collect()  # a row a language
     if not counts:
         return fit([])
-    share = F.coalesce(*[F.when(F.col(lang_col) == k, min(1.0, 1.2 * PER_LANGUAGE / n)) for k, n in counts.items()], F.lit(0.0))
-    ticket = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string")), 11) / F.lit(float(1 << 53))
-    texts = known.where(ticket < share).select(F.col(lang_col).cast("string").alias("l"), ticket.alias("k"), F.xxhash64(text_col).alias("h"), utf8(text_col).alias("t"))
-    sample = texts.mapInArrow(_reduced, "l string, k double, h bigint, g binary, n binary")
-    first = sample.orderBy("k", "l", "h").limit(int(1.5 * PER_LANGUAGE * len(counts)) + 100)
-    taken: Counter = Counter()
-    rows = []
-    for r in first.collect():
-        if taken[r.l] < PER_LANGUAGE:
-            taken[r.l] += 1
-            rows.append((r.l, np.frombuffer(r.g, np.uint16), np.frombuffer(r.n, np.uint32)))
-    return fit(rows)
+    per = max(1, min(PER_LANGUAGE, SAMPLE // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r.l, min(1.0, (per + 5 * per**0.5 + 10) / r.n)) for r in counts], "l string, share double")  # its size is known to the planner
+    ticket = F.shiftrightunsigned(F.xxhash64(F.col("id_").cast("string"), "t"), 11) / F.lit(float(1 << 53))
+    drawn = known.withColumn("k", ticket).join(shares, "l").where("k < share").select("l", "k", F.xxhash64("t").alias("h"), utf8("t").alias("t"))
+    sample = drawn.dropDuplicates(["l", "k", "h"]).mapInArrow(_reduced, "l string, k double, h bigint, g binary, n binary")
+    place = F.expr("row_number() over (partition by l order by k, h)")
+    rows = sample.withColumn("place", place).where(F.col("place") <= per).select("l", "g", "n").collect()
+    rows.sort(key=lambda r: (r.l, bytes(r.g), bytes(r.n)))  # sums of doubles should not depend on the tasks' order
+    return fit([(r.l, np.frombuffer(r.g, np.uint16), np.frombuffer(r.n, np.uint32)) for r in rows])
 
 
 def identified(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The ``keep`` columns with ``lang_pred``, ``score`` and ``ambiguous`` for every whole text.
 
     Null texts and texts without a letter get ``und`` with score 0, flagged as
-    ambiguous; so does everything if no row could be learned from.
+    ambiguous; so does everything if no row could be learned from.  Of languages
+    with the same loss the first by name wins.  Texts of any length are read whole,
+    a block at a time; repeated rows give repeated rows, an empty table none; kept
+    columns with the names of the results are replaced.
     """
     return map_texts(docs, model.scorer, "lang_pred string, score double, ambiguous boolean", keep, text_col, ["lang_pred", "score", "ambiguous"])
 

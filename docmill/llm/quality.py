@@ -7,13 +7,17 @@ times its information about the label in the training sample.  The first
 singular vectors of the sample's weighted counts span the latent space.  The
 sample's vectors and labels, bounded by ``SAMPLE`` rows, go to every task, which
 computes exact cosines of all its documents with all of them in blocks; the
-``NEIGHBOURS`` most similar vote with their similarity as weight.
+``NEIGHBOURS`` most similar vote with their similarity as weight.  Cosines count
+to five decimals; of equally similar rows the first ones of the sample vote, whose
+order is that of a hash of their ids.
 """
 
 from __future__ import annotations
 
+import pickle
+import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.runtime import remainder, utf8
+from docmill.llm.runtime import map_texts, remainder, utf8
 from docmill.llm.toxicity import labelled_sample
 
 SAMPLE = 4000
@@ -32,20 +36,21 @@ DIMENSIONS = 48
 NEIGHBOURS = 25
 SHARPNESS = 4.0
 THRESHOLD = 0.3
-#: Documents whose cosines are computed at a time.
-BLOCK = 512
+#: Documents whose cosines are computed at a time, and the steps of a cosine.
+BLOCK, STEPS = 512, 100_000
+#: Shapes of words up to so many bytes are remembered.
+REMEMBER = 64
 CLASSES = bytes(
     97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256)
 )
 
 
+REPEATS = re.compile(rb"(.)\1{2,}", re.DOTALL)
+
+
 def shape(run: bytes) -> bytes:
     """A word's classes with repeats collapsed to two at most."""
-    out = bytearray()
-    for b in run[:64]:
-        if len(out) < 2 or out[-1] != b or out[-2] != b:
-            out.append(b)
-    return bytes(out[:12])
+    return REPEATS.sub(rb"\1\1", run)
 
 
 def terms_of(data: bytes | None, words: frozenset | None = None, shapes: dict | None = None) -> dict[bytes, int]:
@@ -57,9 +62,11 @@ def terms_of(data: bytes | None, words: frozenset | None = None, shapes: dict |
     for run, n in Counter(data.translate(CLASSES).split()).items():
         s = shapes.get(run)
         if s is None:
-            if len(shapes) > 50_000:
-                shapes.clear()
-            s = shapes[run] = b"~" + shape(run)
+            s = b"~" + shape(run)
+            if len(run) <= REMEMBER:
+                if len(shapes) > 50_000:
+                    shapes.clear()
+                shapes[run] = s
         found[s] = found.get(s, 0) + n
     again = sum(map(bytes.__eq__, tokens, tokens[1:]))
     lines = data.split(b"\n")
@@ -98,23 +105,23 @@ class Model:
     def votes(self, vectors: np.ndarray) -> np.ndarray:
         """The weighted votes of the nearest sample rows; the prior for vectors without terms."""
         out = np.full(len(vectors), self.prior)
-        k = min(NEIGHBOURS, len(self.labels))
+        k, first = min(NEIGHBOURS, len(self.labels)), np.arange(len(self.labels))[::-1]
         for i in range(0, len(vectors) if k else 0, BLOCK):
-            cosines = vectors[i : i + BLOCK] @ self.vectors.T
-            near = np.argpartition(cosines, -k, axis=1)[:, -k:]
-            weight = np.clip(np.take_along_axis(cosines, near, axis=1), 0, 1).astype(np.float64) ** SHARPNESS
+            cosines = np.rint(vectors[i : i + BLOCK] @ self.vectors.T * STEPS).astype(np.int64)
+            near = np.argpartition(cosines * len(first) + first, -k, axis=1)[:, -k:]
+            near.sort(axis=1)  # sums in the sample's order
+            weight = np.clip(np.take_along_axis(cosines, near, axis=1) / STEPS, 0, 1) ** SHARPNESS
             total = weight.sum(axis=1)
             some = total > 1e-9
             out[i : i + BLOCK][some] = ((weight * self.labels[near]).sum(axis=1)[some] / total[some]).clip(0, 1)
         return out
 
 
-def fit(rows: Iterable[tuple[int, bytes]]) -> Model:
-    """Fit the space on (label, text) rows."""
+def fit(rows: Iterable[tuple[int, dict[bytes, int]]]) -> Model:
+    """Fit the space on (label, term counts) rows."""
     number: dict[bytes, int] = {}
     labels, coded = [], []
-    for label, text in rows:
-        counts = terms_of(text)
+    for label, counts in rows:
         labels.append(label)
         ids = np.array([number.setdefault(t, len(number)) for t in counts], np.int32)
         coded.append((ids, np.array(list(counts.values()), np.float32)))
@@ -160,14 +167,28 @@ def fit(rows: Iterable[tuple[int, bytes]]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Fit on a bounded sample of the usable labelled documents, drawn by a hash of the id."""
-    found = labelled_sample(docs, labels, usable, label_col, sample, id_col, text_col).orderBy("k", "y", F.xxhash64("t")).limit(sample)
-    return fit((r.y, bytes(r.t)) for r in found.toLocalIterator())
+    """Fit on a bounded sample of the usable labelled documents, drawn by a hash of the id.
+
+    Tasks reduce the texts to their term counts before the driver gets them.
+    """
+
+    def start() -> Callable:
+        return lambda data: (pickle.dumps(terms_of(data)),)
+
+    drawn = labelled_sample(docs, labels, usable, label_col, sample, id_col, text_col).withColumn("h", F.xxhash64("t")).dropDuplicates(["k", "h"])
+    found = map_texts(drawn, start, "terms binary", ["y", "k", "h"], "t", ["terms"]).orderBy("k", "y", "h").limit(sample)
+    return fit((r.y, pickle.loads(r.terms)) for r in found.toLocalIterator())
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The ``keep`` columns with ``score`` and ``predicted`` for every whole text (null counts as empty)."""
-    keep = [c for c in keep if c != "score"]
+    """The ``keep`` columns with ``score`` and ``predicted`` for every whole text.
+
+    Null counts as empty; texts without a term of the model, and all texts if no
+    row could be learned from, get the sample's share of good rows.  Of several
+    labels of a document the greatest counts; repeated rows give repeated rows, an
+    empty table none; kept columns with the names of the results are replaced.
+    """
+    keep = [c for c in keep if c not in ("score", "predicted")]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,5 +216,3 @@ def predict(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 def digest(judged: DataFrame) -> DataFrame:
     return judged.select("doc_id", "held_out", "score", "predicted")
-
-

@@ -1,13 +1,16 @@
 """Tokens, languages, toxicity and quality: round trips and held-out accuracy."""
 
 import hashlib
+import math
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from docmill.llm import bpe, langid, quality, toxicity
 
@@ -124,6 +127,120 @@ def test_toxicity_and_neutral_mentions(spark):
     train = [(y, set(t.encode().split())) for (_, t, *_), (_, _, y) in zip(rows, labels, strict=True)]
     free, held_back = toxicity.fit(train, balance=0.0), toxicity.fit(train)
     assert held_back.weights.get(b"muslim", 0) < 0.6 * free.weights[b"muslim"]
+    own = toxicity.fit(train, identity=(("muslim", "wasser"),))
+    assert own.swaps and ("muslim", "wasser") in own.identity and own.weights.get(b"muslim", 0) < free.weights[b"muslim"]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="the driver's tables are not here")
+def test_the_registered_toxicity_trains_on_swaps(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels, toxicity.remainder("doc_id", 4) != 2)
+    found = {t for group in model.identity[len(toxicity.IDENTITY) :] for t in group}
+    assert model.swaps > 0 and found
+    insults = {w for w, x in model.weights.items() if x > 1.5}
+    assert insults and not insults & {t.encode() for t in found}
+
+
+def test_toxicity_swaps_and_gradient():
+    words = {b"muslim", b"christians", b"x"}
+    pairs = toxicity.swapped(words, (("muslim", "muslims", "christian"), ("y", "z")))
+    assert pairs == [(b"muslim", b"muslims"), (b"muslim", b"christian")]
+    base = toxicity.features_of(words)
+    for (t, o), change in zip(pairs, toxicity.differences(words, pairs), strict=True):
+        other = toxicity.features_of(words - {t} | {o})
+        assert change == {f: 1.0 for f in base - other} | {f: -1.0 for f in other - base}
+    rng = np.random.default_rng(0)
+    n, k, m = 30, 8, 12
+    row, col = np.nonzero(rng.random((n, k)) < 0.4)
+    swap = (rng.integers(0, m, 40), rng.integers(0, k, 40), rng.choice([-1.0, 1.0], 40))
+    problem = toxicity.Problem((rng.random(n) < 0.4).astype(float), row, col, swap, m, k, decay=0.1)
+    w = rng.standard_normal(k + 1)
+    _, g = problem.at(w)
+    for i in range(k + 1):
+        step = np.eye(k + 1)[i] * 1e-6
+        assert abs((problem.at(w + step)[0] - problem.at(w - step)[0]) / 2e-6 - g[i]) < 1e-6
+    # the penalty by hand: the changes' mean square
+    change = [sum(v * w[f] for s, f, v in zip(*swap, strict=True) if s == j) for j in range(m)]
+    free = toxicity.Problem(problem.y, row, col, swap, m, k, balance=0.0, decay=0.1)
+    assert abs(problem.at(w)[0] - free.at(w)[0] - toxicity.BALANCE * sum(c * c for c in change) / m) < 1e-9
+
+
+def test_toxicity_scores_by_hand():
+    model = toxicity.Model({b"bad": 2.0, b"^worse": 1.5, b"^worsens": -0.5}, -1.0)
+    score = model.scorer()
+    for text, z in (("so Bad, bad!", 1.0), ("worse", -1.0), ("worsens", 0.5), ("worsenses worsening", 0.0), (None, -1.0), ("", -1.0), ("bad worsest " * 50_000, 2.5)):
+        assert abs(score(None if text is None else text.encode())[0] - 1 / (1 + math.exp(-z))) < 1e-12
+
+
+def test_found_terms_keep_like_company():
+    rng = random.Random(1)
+    rows = []
+    for i in range(600):
+        lang = ["a", "b"][i % 2]
+        words = {f"{lang}{j}" for j in rng.sample(range(30), 12)} | ({"scum"} if i % 5 == 0 else set())
+        if i % 30 in (0, 1, 2, 5):
+            words.add(f"{lang}group{i // 30 % 4}")
+        rows.append((int(i % 5 == 0), {w.encode() for w in words}))
+    lists = toxicity.found_terms(toxicity.Rows(rows))
+    assert lists and all(len(group) > 1 and len({t[0] for t in group}) == 1 for group in lists) and not any("scum" in g for g in lists)
+
+
+def test_languages_by_hand():
+    rows = [(lang, *langid.gram_counts(t.encode())) for _, t, lang, *_ in corpus(90)]
+    model = langid.fit(rows)
+    for _, text, *_ in corpus(12):
+        data = (" " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " ").encode()
+        places = []
+        for n in (1, 2, 3, 4):
+            for i in range(len(data) - n + 1):
+                code = int.from_bytes(data[i : i + n], "big")
+                places.append(((code * 2654435761 + (n << 28)) % (1 << 32)) >> (32 - langid.BUCKET_BITS))
+        margins = [sum(float(model.weights[p, b]) for p in places) / len(places) * langid.SCALE + model.bias[b] for b in range(model.code.shape[1])]
+        losses = [sum(math.log1p(math.exp(-c * m)) for c, m in zip(word, margins, strict=True)) for word in model.code]
+        got = model.scorer()(text.encode())
+        assert got[0] == model.languages[losses.index(min(losses))]
+        assert abs(got[1] - 1 / sum(math.exp(min(losses) - x) for x in losses)) < 1e-6
+
+
+def test_very_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 900)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"{letters[i % 26]}{letters[i // 26 % 17]}q " * 9, f"l{i % 442}", "c", "c") for i in range(442 * 4)]
+    model = langid.train(spark.createDataFrame(rows, DOCS), F.lit(True))
+    assert len(model.languages) == 442
+
+
+def test_repeated_rows_are_learned_once(spark):
+    rows = corpus(120) + [(None, "le matin avec maison", "en", "c", "c")] * 2000
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(rows, DOCS)).collect()}
+    truth = {r[0]: r[2] for r in corpus(120)}
+    held = [r for i, r in got.items() if i is not None and r.held_out]
+    assert held and sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.95 * len(held)
+
+
+def test_quality_votes_by_brute_force():
+    rng = random.Random(9)
+    words = [w for v in WORDS.values() for w in v]
+    texts = [" ".join(rng.choices(words, k=rng.randint(3, 60))) if i % 3 else " ".join(w.upper() for w in rng.choices(words, k=20)) for i in range(200)]
+    texts += texts[:20]  # ties
+    model = quality.fit((int(i % 3 != 0), quality.terms_of(t.encode())) for i, t in enumerate(texts))
+    for text in [*texts[:30], "", "zzz", "Aa1!" * 50_000]:
+        vector = model.vector(quality.terms_of(text.encode())).astype(float)
+        cosines = [round(float(np.float32(1) * (vector.astype(np.float32) @ v)) * quality.STEPS) for v in model.vectors]
+        near = sorted(range(len(cosines)), key=lambda j: (-cosines[j], j))[: quality.NEIGHBOURS]
+        weights = [max(0.0, min(1.0, cosines[j] / quality.STEPS)) ** quality.SHARPNESS for j in near]
+        want = sum(w * model.labels[j] for w, j in zip(weights, near, strict=True)) / sum(weights) if sum(weights) > 1e-9 else model.prior
+        assert abs(model.votes(vector[None].astype(np.float32))[0] - want) < 0.02
+    assert quality.shape(b"aaaa" + b"A" * 100 + b"0" * 70 + b"a!") == b"aaAA00a!"
+
+
+def test_long_and_repeated_rows_of_the_classifiers(spark):
+    rows, labels = labelled()
+    long = "the water " * 200_000
+    frame = spark.createDataFrame([*rows, (900, long, None, "c", "c"), (900, long, None, "c", "c"), (rows[0][0], rows[0][1], "en", "c", "c")], DOCS)
+    marks = spark.createDataFrame([*labels, *labels[:50]], "doc_id long, quality int, toxic int")
+    for got in (toxicity.predict(frame, marks).collect(), quality.predict(frame, marks).collect(), langid.predict(frame).collect()):
+        assert len(got) == len(rows) + 3 and len({(r.doc_id, r.score) for r in got}) == len(rows) + 1
 
 
 def test_quality_of_repeating_and_shouting_texts(spark):

@@ -11,16 +11,19 @@ A word run is streamed only where every adjacent word pair occurs in the items
 (a hashed bitmap, no false negatives): all others cannot hold a window.
 
 Items travel to the tasks in groups of at most ``GROUP_BYTES`` of text, each
-group with an automaton of its own, so what is shipped is bounded whatever the
-benchmark's size; with several groups the documents are read once a group and
-the hits are merged by document.
+group with an automaton of its own (a longer item is cut into pieces that overlap
+by a window less a word, which have the item's windows between them).  So the
+driver and the tasks hold one group at a time whatever the benchmark's size; with
+several groups the documents are read once a group, and the hits, the only rows
+that are kept of all but the first reading, are merged by document.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,6 @@ from docmill.llm.runtime import utf8, written
 
 WINDOW = 13
 GROUP_BYTES = 4 << 20
-#: Groups whose automata a task holds at once when it rewrites texts; more are scanned one by one.
-MOST_GROUPS = 4
 #: Lower-cases A-Z and blanks the ASCII characters that are neither letters nor digits.
 FOLD = bytes((b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256))
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -177,27 +178,59 @@ def without(data: bytes, spans: list[list[int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def groups_of(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in groups of at most ``limit`` bytes of text (one item at least)."""
+def pieces_of(text: bytes, limit: int, window: int) -> Iterator[bytes]:
+    """A text, or, if it is longer than ``limit``, the pieces that hold all its windows, each of a window at least."""
+    if len(text) <= limit:
+        yield text
+        return
+    words = words_of(text)
+    start = 0
+    while start < len(words):
+        stop, size = min(len(words), start + window), 0
+        size = sum(len(w) + 1 for w in words[start:stop])
+        while stop < len(words) and size + len(words[stop]) + 1 <= limit:
+            size += len(words[stop]) + 1
+            stop += 1
+        yield b" ".join(words[start:stop])
+        if stop == len(words):
+            return
+        start = stop - window + 1
+
+
+def groups_of(benchmark: DataFrame, item_col: str, text_col: str, limit: int, window: int = WINDOW) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in groups of at most ``limit`` bytes of text (one piece at least), one at a time."""
     group: list[tuple[str, bytes]] = []
     size = 0
     for r in benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("k"), utf8(text_col).alias("t")).toLocalIterator():
-        if group and size + len(r.t or b"") > limit:
-            yield group
-            group, size = [], 0
-        group.append((r.k, bytes(r.t or b"")))
-        size += len(r.t or b"")
+        for piece in pieces_of(bytes(r.t or b""), limit, window):
+            if group and size + len(piece) > limit:
+                yield group
+                group, size = [], 0
+            group.append((r.k, piece))
+            size += len(piece)
     if group:
         yield group
 
 
+_built: dict[str, Automaton] = {}
+
+
+def automaton_of(name: str, items: list[tuple[str, bytes]], window: int) -> Automaton:
+    """The automaton of a group of items; a Python worker keeps the last one for its next tasks."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Automaton([(i, words_of(t)) for i, (_, t) in enumerate(items)], window)
+    return _built[name]
+
+
 def scan(docs: DataFrame, items: list[tuple[str, bytes]], id_col: str, text_col: str, window: int) -> DataFrame:
     """``(id, n_words, spans, items, longest)`` of every document against one group of items."""
     ids = [k for k, _ in items]
     id_type = docs.schema[id_col].dataType.simpleString()
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton([(i, words_of(t)) for i, (_, t) in enumerate(items)], window)
+        automaton = automaton_of(name, items, window)
         for batch in batches:
             n, spans, names, longest = [], [], [], []
             for x in batch.column(1):
@@ -215,32 +248,46 @@ def scan(docs: DataFrame, items: list[tuple[str, bytes]], id_col: str, text_col:
     return docs.select(id_col, utf8(text_col)).mapInArrow(run, f"`{id_col}` {id_type}, n_words bigint, spans array<int>, items array<string>, longest int")
 
 
+def _by_group(docs: DataFrame, groups: Iterable[list[tuple[str, bytes]]], id_col: str, text_col: str, window: int) -> DataFrame:
+    """:func:`scan` against all groups; the ids of ``docs``, a written table, are unique."""
+    every: DataFrame | None = None
+    for group in groups:
+        found = scan(docs, group, id_col, text_col, window)
+        part = written(found if every is None else found.where("longest > 0 and size(items) > 0"), "hits")
+        every = part if every is None else every.unionByName(part)
+    join = F.pandas_udf(lambda s: s.map(lambda x: [int(i) for r in merged([(a[j], a[j + 1]) for a in x for j in range(0, len(a), 2)]) for i in r]), "array<int>")
+    return (
+        every.groupBy(id_col)
+        .agg(F.max("n_words").alias("n_words"), join(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
+        .select(id_col, "n_words", "spans", "items", "longest")
+    )
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, limit: int = GROUP_BYTES) -> DataFrame:
     """Per document row: ``(id, n_words, spans, items, longest, n_hit)``.
 
     ``spans`` is a flat array of word ranges [start, end), in order and disjoint;
     ``items`` the ids (as strings, sorted) of items with an occurring window;
-    ``longest`` the longest matching length met.  Null texts have no words; items
-    without words have no window; a null item id counts as the empty string.
-    Repeated document rows give repeated rows where one automaton holds all
-    items; with several groups, rows of equal id are told apart by a row number
-    fixed in a written table.
+    ``longest`` the longest matching length met in a group of items.  Null texts
+    have no words; items without words have no window; a null item id counts as the
+    empty string, and items of equal id as one.  Repeated document rows give
+    repeated rows: with several groups, rows are told apart by a number fixed in a
+    written table.  Texts and items may be of any length; an empty table gives no
+    rows, an empty benchmark no hits.
     """
-    groups = list(groups_of(benchmark, item_col, item_text, limit)) or [[]]
-    if len(groups) == 1:
-        found = scan(docs, groups[0], id_col, text_col, window)
+    groups = groups_of(benchmark, item_col, item_text, limit, window)
+    first, second = next(groups, []), next(groups, None)
+    if second is None:
+        found = scan(docs, first, id_col, text_col, window)
     else:
         keyed = written(docs.select(F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("n")).alias("key"), F.col(text_col).alias("text")), "keyed")
-        parts = [scan(keyed, g, "key", "text", window) for g in groups]
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        join = F.pandas_udf(lambda s: s.map(lambda x: [int(i) for r in merged([(a[j], a[j + 1]) for a in x for j in range(0, len(a), 2)]) for i in r]), "array<int>")
-        found = (
-            every.groupBy("key")
-            .agg(F.first("n_words").alias("n_words"), join(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
-            .select(F.col("key.id").alias(id_col), "n_words", "spans", "items", "longest")
-        )
+        every = _by_group(keyed, itertools.chain([first, second], groups), "key", "text", window)
+        found = every.select(F.col("key.id").alias(id_col), "n_words", "spans", "items", "longest")
+    return _measured(found)
+
+
+def _measured(found: DataFrame) -> DataFrame:
+    """Adds ``n_hit``, the words in the spans."""
     width = F.aggregate(
         F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), F.lit(0).cast("bigint"), lambda acc, i: acc + F.element_at("spans", i + 2) - F.element_at("spans", i + 1)
     )
@@ -260,23 +307,26 @@ def cleaned(
 
     A document goes if its hits reach the coverage limit (1 in ``share`` words);
     else, with ``cut``, the hit spans are cut out of its text.  Columns stay as
-    they are.  Up to ``MOST_GROUPS`` groups of items are held by a task at once;
-    of more, each is a scan of its own and the hits are merged by row.
+    they are.  Null and empty texts have no words and stay; repeated rows are
+    judged alike and stay or go together; texts, items and the benchmark may be of
+    any size; an empty benchmark changes nothing.  More than one group of items is
+    scanned group by group, and the hits are merged by row.
     """
-    groups = list(itertools.islice(groups_of(benchmark, item_col, item_text, limit), MOST_GROUPS + 1)) or [[]]
-    if len(groups) > MOST_GROUPS:
-        return _cleaned_by_group(docs, benchmark, text_col, item_col, item_text, window, share, limit, cut)
-    at = docs.columns.index(text_col)
+    groups = groups_of(benchmark, item_col, item_text, limit, window)
+    first, second = next(groups, []), next(groups, None)
+    if second is not None:
+        return _cleaned_by_group(docs, itertools.chain([first, second], groups), text_col, window, share, cut)
+    at, name = docs.columns.index(text_col), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [Automaton([(i, words_of(t)) for i, (_, t) in enumerate(g)], window) for g in groups]
+        automaton = automaton_of(name, first, window)
         for batch in batches:
             keep, texts = [], []
             for x in batch.column(at):
                 value = x.as_py()
                 data = value.encode() if value is not None else b""
                 words = words_of(data)
-                spans = merged([s for a in automata for s in a.stream(words)[0]])
+                spans = merged(automaton.stream(words)[0])
                 n = sum(b - a for a, b in spans)
                 keep.append(not (n and share * n >= len(words)))
                 texts.append(value if not n or not cut else without(data, spans).decode("utf-8", "replace"))
@@ -287,13 +337,14 @@ def cleaned(
     return docs.mapInArrow(run, docs.schema)
 
 
-def _cleaned_by_group(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, window: int, share: int, limit: int, cut: bool) -> DataFrame:
-    """:func:`cleaned` by way of :func:`hits`, whatever the number of groups."""
+def _cleaned_by_group(docs: DataFrame, groups: Iterable[list[tuple[str, bytes]]], text_col: str, window: int, share: int, cut: bool) -> DataFrame:
+    """:func:`cleaned` whatever the number of groups."""
     row, spans = "row_", "spans_"
-    while row in docs.columns or spans in docs.columns:
+    taken = {c.lower() for c in docs.columns}
+    while row in taken or spans in taken:
         row, spans = row + "_", spans + "_"
     numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = judged(hits(numbered, benchmark, row, text_col, item_col, item_text, window, limit), share)
+    found = judged(_measured(_by_group(numbered, groups, row, text_col, window)), share)
     left = numbered.join(found.where("not contaminated").select(row, F.col("spans").alias(spans)).hint("merge"), row).drop(row)
     if not cut:
         return left.drop(spans)

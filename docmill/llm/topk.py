@@ -70,14 +70,22 @@ def aligned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of rows, as int64 (saturated beyond its range)."""
+    """Exact integer inner products of rows, as int64 (saturated beyond its range).
+
+    Pairs of rows whose sums doubles hold exactly are multiplied as doubles; only
+    the pairs with a row too large for that are summed as Python integers.
+    """
     q, c = aligned(q, c)
-    most = (np.abs(q).max(initial=0)) * (np.abs(c).max(initial=0)) * max(1, q.shape[1])
-    if most < EXACT:
+    a, b = np.abs(q).max(axis=1, initial=0), np.abs(c).max(axis=1, initial=0)
+    wide = max(1, q.shape[1])
+    if a.max(initial=0) * b.max(initial=0) * wide < EXACT:
         return (q @ c.T).astype(np.int64)
-    big = [[int(x) for x in row] for row in c]
-    exact = [[sum(x * y for x, y in zip(map(int, row), other, strict=True)) for other in big] for row in q]
-    return np.array([[min(max(s, -TOP - 1), TOP) for s in row] for row in exact], np.int64).reshape(len(q), len(c))
+    large = np.outer(a, b) * wide >= EXACT
+    with np.errstate(all="ignore"):
+        out = np.where(large, 0, q @ c.T).astype(np.int64)
+    for i, j in zip(*np.nonzero(large), strict=True):
+        out[i, j] = min(max(sum(int(x) * int(y) for x, y in zip(q[i], c[j], strict=True)), -TOP - 1), TOP)
+    return out
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -139,6 +147,7 @@ def exact_top_k(
         first[b] = (blocks, -(-n // per_block))
         blocks += first[b][1]
     tops = {b: top for b, (_, top) in counts.items()}
+    numbers = sorted(first)
     # first thresholds
     seeds = rows.orderBy(F.desc("norm"), "id").limit(min(SEEDS, max(16, SEED_BYTES // (8 * dims)))).toArrow() if total else None
     seed_ids = seeds.column("id").to_numpy() if total else np.zeros(0, np.int64)
@@ -156,17 +165,19 @@ def exact_top_k(
                     at = float(np.partition(s, len(s) - k)[len(s) - k]) if len(s) >= k else float("-inf")
                     low.append(at)
                     # the buckets whose length bound reaches it
-                    alive = [b for b in first if at <= 0 or length * tops[b] * (1 + 1e-9) + 1e-6 >= at]
-                    to.append([first[b][0] + j for b in alive for j in range(first[b][1])])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low), pa.array(to, pa.list_(pa.int32()))], ["id", "v", "norm", "threshold", "blocks"])
+                    to.append([b for b in numbers if at <= 0 or length * tops[b] * (1 + 1e-9) + 1e-6 >= at])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low), pa.array(to, pa.list_(pa.int32()))], ["id", "v", "norm", "threshold", "buckets"])
 
     queries = rows.join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    posed = written(queries.select("id", "v", "norm").mapInArrow(threshold, "id bigint, v array<double>, norm double, threshold double, blocks array<int>"), "queries")
+    posed = written(queries.select("id", "v", "norm").mapInArrow(threshold, "id bigint, v array<double>, norm double, threshold double, buckets array<int>"), "queries")
     groups = max(1, -(-posed.count() // MOST_ROWS))  # blocks of queries
     pick = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
-    asked = posed.select("id", "v", "norm", "threshold", pick.alias("q"), F.explode("blocks").alias("c"))
-    start = F.coalesce(*[F.when(bucket == b, F.lit(s)) for b, (s, _) in first.items()], F.lit(0))
-    parts = F.coalesce(*[F.when(bucket == b, F.lit(n)) for b, (_, n) in first.items()], F.lit(1))
+    of = lambda at, i, other: F.coalesce(*[F.when(at == b, F.lit(x[i])) for b, x in first.items()], F.lit(other))
+    at = F.col("bucket")
+    # a query's row lists its buckets, at most BUCKETS; their blocks are only made where it is sent
+    alive = posed.select("id", "v", "norm", "threshold", pick.alias("q"), F.explode("buckets").alias("bucket"))
+    asked = alive.select("id", "v", "norm", "threshold", "q", F.explode(F.sequence(of(at, 0, 0), of(at, 0, 0) + of(at, 1, 1) - 1)).alias("c"))
+    start, parts = of(bucket, 0, 0), of(bucket, 1, 1)
     given = rows.select("id", "v", "norm", (start + F.pmod(F.xxhash64("id", F.lit(1)), parts)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("q"))
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:

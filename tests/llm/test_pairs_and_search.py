@@ -150,12 +150,35 @@ def test_spans_are_cut_and_covered_documents_go(spark):
 @pytest.mark.parametrize("cut", [True, False])
 def test_many_groups_of_items_clean_like_one(spark, cut):
     docs, bench = spark.createDataFrame([*CASES, (None, "clean", "d", 0.0), (None, "clean", "d", 0.0)], DOCS), spark.createDataFrame(BENCH, "item_id long, text string")
-    assert len(list(decontaminate.groups_of(bench, "item_id", "text", 1))) > decontaminate.MOST_GROUPS
+    assert len(list(decontaminate.groups_of(bench, "item_id", "text", 1))) > 4
     one, many = (decontaminate.cleaned(docs, bench, limit=limit, cut=cut) for limit in (decontaminate.GROUP_BYTES, 1))
     assert many.dtypes == docs.dtypes
     assert Counter(map(tuple, many.collect())) == Counter(map(tuple, one.collect()))
 
 
+def test_pieces_of_long_items_hold_its_windows():
+    rng = random.Random(3)
+    for _ in range(200):
+        words = [rng.choice([b"a", b"bb", b"ccc", b"d" * 40]) for _ in range(rng.randint(0, 60))]
+        window, limit = rng.randint(1, 5), rng.choice([1, 20, 100])
+        pieces = [decontaminate.words_of(p) for p in decontaminate.pieces_of(b" ".join(words), limit, window)]
+        of = lambda x: {tuple(x[i : i + window]) for i in range(len(x) - window + 1)}  # noqa: B023, E731
+        assert set().union(*map(of, pieces), set()) == of(words)
+        assert len(pieces) < 2 or all(len(p) >= window for p in pieces)
+
+
+def test_long_texts_items_and_many_groups(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([5, 30, 4000])))) for i in range(25)]
+    docs = [(1, " ".join(rng.choices(words, k=100_000)) + " " + items[3][1], "c", 0.0), (2, items[7][1], "c", 0.0), (2, items[7][1], "c", 0.0), (3, " ".join(rng.choices(words, k=500)), "c", 0.0)]
+    frame, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame([*items, (3, items[4][1])], "item_id long, text string")
+    rows = lambda limit: sorted(map(str, decontaminate.digest(decontaminate.hits(frame, bench, limit=limit)).collect()))
+    assert rows(1 << 20) == rows(5000)
+    kept = {r.doc_id for r in decontaminate.kept(frame, bench, limit=5000).collect()}
+    assert 2 not in kept and 3 in kept
+
+
 def brute_top(rows, k=10):
     ok = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
@@ -189,3 +212,12 @@ def test_top_k_against_brute_force(spark, kind):
 def test_products_saturate_beyond_a_bigint():
     a = np.array([[2.0**40, 1.0]])
     assert topk.products(a, np.array([[2.0**40, 0.0], [-(2.0**40), 0.0], [2.0**20, 3.0]])).tolist() == [[topk.TOP, -topk.TOP - 1, 2**60 + 3]]
+
+
+def test_huge_rows_leave_the_others_alone():
+    rng = np.random.default_rng(3)
+    q, c = rng.integers(-1000, 1000, (5, 4)).astype(float), rng.integers(-1000, 1000, (7, 4)).astype(float)
+    c[2] *= 2.0**50
+    q[1, 0] = 2.0**60
+    want = [[sum(int(x) * int(y) for x, y in zip(a, b)) for b in c] for a in q]
+    assert topk.products(q, c).tolist() == [[min(max(x, -topk.TOP - 1), topk.TOP) for x in row] for row in want]

@@ -9,10 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.plans.storage import shared_dir, written
+from docmill.plans.storage import scratch, shared_dir, written
 
-
-__all__ = ["documents", "fresh_path", "looked_up", "map_texts", "remainder", "shared_dir", "table", "utf8", "written"]
+__all__ = ["documents", "fresh_path", "looked_up", "map_texts", "remainder", "scratch", "shared_dir", "table", "utf8", "written"]
 
 #: Keys at most that :func:`looked_up` broadcasts: those with at least one in so many rows.
 HOT = 512
@@ -42,22 +41,23 @@ def remainder(doc_id: Column | str, modulus: int) -> Column:
 
 
 def looked_up(
-    left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int, early: Callable[[DataFrame, Column], DataFrame] | None = None
+    left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int, early: Callable[[DataFrame, Column], DataFrame] | None = None, salt: Column | None = None
 ) -> DataFrame:
     """``left`` with the further columns of ``right`` (unique by ``keys``; null where it has no row), hot keys spread.
 
     ``right[count]`` says how many of the ``total`` rows of ``left`` have the key.
     Of keys with at least 1 in ``HOT`` rows there are ``HOT`` at most: these are
     broadcast, and a salt spreads their rows over all tasks of the join that finds
-    the others.  ``left`` must be read from tables, so that a recomputed task gives
-    its rows the same salts.  ``early`` may change rows between the two joins; its
+    the others.  The salt is a hash of the row's place, for which ``left`` must be
+    read from tables, so that a recomputed task gives its rows the same salts; or of
+    ``salt``, which should differ from row to row.  ``early`` may change rows between the two joins; its
     second argument says whether a row's key was a hot one.
     """
     least = max(1, -(-total // HOT))
     values = F.struct(*[c for c in right.columns if c not in keys and c != count])
     hot = right.where(F.col(count) >= least).select(*keys, values.alias("hot_"))
     cold = right.where(F.col(count) < least).select(*keys, F.lit(0).cast("bigint").alias("salt_"), values.alias("cold_"))
-    spread = 1 + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20))
+    spread = 1 + F.pmod(F.xxhash64(F.monotonically_increasing_id() if salt is None else salt), F.lit(1 << 20))
     found = left.join(F.broadcast(hot), keys, "left").withColumn("salt_", F.when(F.col("hot_").isNull(), F.lit(0).cast("bigint")).otherwise(spread))
     if early is not None:
         found = early(found, F.col("hot_").isNotNull())
@@ -81,7 +81,8 @@ def map_texts(
     the function's tuple fills, called ``names``; kept columns of these names
     are replaced.
     """
-    keep = [c for c in keep if c not in names]
+    made_ = {n.lower() for n in names}
+    keep = [c for c in keep if c.lower() not in made_]
     ddl = ", ".join(x for x in (_ddl(df, keep), fields) if x)
     types = _arrow_types(df.sparkSession, fields)
 

@@ -5,24 +5,34 @@ word shingles; a fingerprint bit is 1 if it is 1 in over half of the shingles'
 XXH64 values.  A text without words has fingerprint zero and is linked like any
 other; null counts as the empty text.
 
-**Trees.**  Two fingerprints within ``k`` bits differ by at most
+**Bands and trees.**  Two fingerprints within ``k`` bits differ by at most
 ``k // bands`` bits in one of ``bands`` disjoint groups of bits, so there is one
 vantage-point tree a band, over the distance within the band (a pseudo-metric:
 the triangle bounds hold, and the ring widths to bounds ratio is far better than
-with all 64 bits).  A tree is fitted on a bounded sample (``SAMPLE``); every
-fingerprint has a home leaf in each tree, and by the triangle bound it can have
-neighbours only in the few leaves whose rings its own ring, widened by the
-radius, overlaps.  It is sent as a query to those with a larger number than its
-home (the others send theirs to it).  A task that gets a leaf goes on with
-vantage points below it until blocks are small, then compares whole fingerprints.
+with all 64 bits).  So recall rests on the bands, and a tree deals a band's
+fingerprints to tasks.  Every fingerprint has a home leaf in each tree, and by the
+triangle bound it can have neighbours only in the few leaves whose rings its own
+ring, widened by the radius, overlaps.  It is sent as a query to those with a
+larger number than its home (the others send theirs to it).  A task that gets a
+leaf goes on with vantage points below it until blocks are small, then compares
+whole fingerprints.
+
+Trees are as deep as leaves of ``LEAF`` fingerprints ask for, up to ``DEEPEST``
+levels: the first ``STAGE`` are fitted on a sample on the driver, further ones on
+samples of the leaves by the tasks, so each level is fitted on as many points, and
+what is broadcast is at most ``2 ** DEEPEST`` vantage points a tree (10 MB).  Leaves
+as deep as that hold single values of a band, more or less, whose fan-out is that
+of the values within the radius.
 
 **Large groups.**  Copies collapse to one fingerprint before anything is sent.
 Fingerprints within ``k`` bits of a *dense* cluster of sample points (clusters
 with over ``DENSE`` of the sample) are linked to it at once.  All of a cluster's
-members are one component already, so they are never compared with each other;
-they lie, salted, in blocks of their own, where only the fingerprints outside the
-cluster look for links.  Thus a group with a third of all rows costs linear work
-and no task holds it whole.
+members are one component already, so where they fill a leaf they are never
+compared with each other; they lie, salted, in blocks of their own, where only
+the fingerprints outside the cluster look for links.  Thus a group with a third of
+all rows costs linear work and no task holds it whole.  Smaller clusters that
+crowd a block are united around pivots first, and only what stays outside the
+largest is compared with the rest.
 
 Tasks emit a spanning forest of what they find (never all pairs), and
 :mod:`docmill.llm.components` contracts the forests.
@@ -39,15 +49,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.components import connected
-from docmill.llm.runtime import map_texts, written
+from docmill.llm.runtime import looked_up, map_texts, scratch, written
 
 #: Sample points that trees are fitted on, and the share of them that makes a cluster dense.
 SAMPLE = 4096
 DENSE = 1 / 256
 #: Leaves of a tree: at least so many (a power of two), more if leaves would hold over LEAF fingerprints.
 LEAVES, LEAF = 256, 8192
-#: Members of a dense cluster in a block.
-BLOCK = 2048
+#: Levels fitted at a time, levels at most, and the sample of a leaf for each leaf to be made below it.
+STAGE, DEEPEST, PER_LEAF = 8, 20, 16
+#: Members of a dense cluster in a block; fewer in a leaf, or than one in SALTED of all, are dealt like the others.
+BLOCK, SALTED = 2048, 65536
+#: A block with more pairs is united around so many pivots first.
+CROWDED, PIVOTS = 1 << 24, 16
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -119,6 +133,25 @@ class Tree:
                     best = min(best, (cost, v, ring), key=lambda x: x[0])
         return best[1], best[2]
 
+    def home(self, fps: np.ndarray) -> np.ndarray:
+        """The home leaf of each fingerprint."""
+        node = np.zeros(len(fps), np.int64)
+        for _ in range(self.depth):
+            near = np.bitwise_count((fps ^ self.vantage[node]) & self.mask) <= self.inner[node]
+            node = 2 * node + 2 - near
+        return node - ((1 << self.depth) - 1)
+
+    def deepened(self, extra: int, leaves: np.ndarray, vantage: np.ndarray, inner: np.ndarray) -> None:
+        """Put trees of ``extra`` levels, a row each, below some of the leaves; the others' members go left."""
+        n = 1 << self.depth
+        below, rings = np.zeros((n, (1 << extra) - 1), np.uint64), np.full((n, (1 << extra) - 1), 64, np.int16)
+        below[leaves], rings[leaves] = vantage, inner
+        for level in range(extra):
+            own = slice((1 << level) - 1, (2 << level) - 1)
+            self.vantage = np.concatenate([self.vantage, below[:, own].ravel()])
+            self.inner = np.concatenate([self.inner, rings[:, own].ravel()])
+        self.depth += extra
+
     def route(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For fingerprints: (row, leaf, is it the home leaf) of every leaf that may hold neighbours."""
         row, node, home = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.ones(len(fps), bool)
@@ -184,6 +217,11 @@ def find_links(fps: np.ndarray, members: np.ndarray, queries: np.ndarray, k: int
             if at != ALL:
                 todo.append((m, q, ALL, k))
                 continue
+            if len(m) * len(q) > CROWDED:
+                rest = _around_pivots(fps, m, q, k, parent)
+                if rest is not None:
+                    todo += rest
+                    continue
         step = max(1, (1 << 20) // len(m))
         for i in range(0, len(q), step):
             part = q[i : i + step]
@@ -192,6 +230,26 @@ def find_links(fps: np.ndarray, members: np.ndarray, queries: np.ndarray, k: int
     return parent
 
 
+def _around_pivots(fps: np.ndarray, m: np.ndarray, q: np.ndarray, k: int, parent: np.ndarray) -> list[tuple] | None:
+    """Unite what lies around some pivots; the pairs still to be compared, or None where that spares little.
+
+    Pairs within the largest set need no comparison: they are united already.
+    """
+    apart = np.arange(len(m))
+    for _ in range(PIVOTS):
+        if not len(apart):
+            break
+        pivot = m[apart[len(apart) // 2]]
+        near = np.concatenate([x[np.bitwise_count(fps[x] ^ fps[pivot]) <= k] for x in (m, q)])
+        unite(parent, np.full(len(near), pivot), near)
+        apart = np.nonzero(parent[m] != np.bincount(parent[m]).argmax())[0]
+    largest = np.bincount(parent[m]).argmax()
+    out, others = m[parent[m] != largest], q[parent[q] != largest]
+    if 2 * (len(out) * len(q) + (len(m) - len(out)) * len(others)) > len(m) * len(q):
+        return None
+    return [(out, q, ALL, k), (m[parent[m] == largest], others, ALL, k)]
+
+
 def near_links(distinct: DataFrame, k: int = 4) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints (column ``fp``, no repeats).
 
@@ -208,8 +266,11 @@ def near_links(distinct: DataFrame, k: int = 4) -> DataFrame:
     dense = sizes >= max(16, DENSE * len(sample))
     hot = sample[dense[roots]] if len(sample) else sample
     hot_root = roots[dense[roots]] if len(sample) else roots
-    depth = max(LEAVES.bit_length() - 1, int(np.ceil(np.log2(max(1, total / LEAF)))))
-    trees = [Tree(sample[~dense[roots]] if len(sample) and not dense.all() else sample, mask, radius, depth) for mask in masks]
+    depth = min(DEEPEST, max(LEAVES.bit_length() - 1, int(np.ceil(np.log2(max(1, total / LEAF))))))
+    points = sample[~dense[roots]] if len(sample) and not dense.all() else sample
+    trees = [Tree(points, mask, radius, min(depth, STAGE)) for mask in masks]
+    while trees[0].depth < depth:
+        _deepen(distinct, total, trees, min(STAGE, depth - trees[0].depth))
     cluster_ids = {int(r): i for i, r in enumerate(np.unique(hot_root))}
     hot_id = np.array([cluster_ids[int(r)] for r in hot_root], np.int64)
     root_fp = {i: int(sample[r].view(np.int64)) for r, i in cluster_ids.items()}
@@ -247,22 +308,25 @@ def near_links(distinct: DataFrame, k: int = 4) -> DataFrame:
                 fps, own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(1).to_numpy()
                 out = []
                 for t, tree in enumerate(trees):
-                    row, leaf, home = tree.route(fps)
-                    keys, n = np.unique(leaf[home] * len(root_fp) + own[row[home]], return_counts=True)
+                    keys, n = np.unique(tree.home(fps) * len(root_fp) + own, return_counts=True)
                     out += [(t, int(x) // len(root_fp), int(x) % len(root_fp), int(c)) for x, c in zip(keys, n, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["t", "leaf", "cluster", "n"])
 
         counted = labelled.where("cluster >= 0").select("fp", "cluster").mapInArrow(count, "t bigint, leaf bigint, cluster bigint, n bigint")
-        for r in counted.groupBy("t", "leaf", "cluster").agg(F.sum("n").alias("n")).collect():  # at most trees x leaves x 256 rows
-            hot_leaves.setdefault((r.t, r.leaf), {})[r.cluster] = -(-r.n // BLOCK)
+        many = max(BLOCK, total // SALTED)
+        for r in counted.groupBy("t", "leaf", "cluster").agg(F.sum("n").alias("n")).where(F.col("n") >= many).collect():  # at most trees x SALTED rows
+            hot_leaves.setdefault((r.t, r.leaf), {})[r.cluster] = -(-r.n // many)
 
     n_trees, n_leaves = len(trees), 1 << depth
-    blocks: dict[tuple[int, int, int], tuple[int, int]] = {}  # of a leaf and cluster: the first block and how many
+    blocks: list[dict[int, list[tuple[int, int, int]]]] = [{} for _ in trees]  # of a tree's leaf: cluster, first block and how many
     following = n_trees * n_leaves
     for (t, leaf), found in sorted(hot_leaves.items()):
         for c, n in sorted(found.items()):
-            blocks[t, leaf, c] = following, n
+            blocks[t].setdefault(leaf, []).append((c, following, n))
             following += n
+    # a tree's salted (leaf, cluster) pairs, as numbers
+    salted = [np.array(sorted(x * len(root_fp) + c for x, found in own.items() for c, _, _ in found), np.int64) for own in blocks]
+    salted_leaves = [np.array(sorted(own), np.int64) for own in blocks]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -277,20 +341,20 @@ def near_links(distinct: DataFrame, k: int = 4) -> DataFrame:
             row, leaf, home = tree.route(fps)
             at_home = np.zeros(len(fps), np.int64)
             at_home[row[home]] = leaf[home]
-            plain = own[row] < 0
-            take = plain & (home | (leaf > at_home[row]))
+            # members that fill a leaf lie in blocks of their own; everything else is dealt alike
+            apart = (own >= 0) & np.isin(at_home * max(1, len(root_fp)) + own, salted[t])
+            take = ~apart[row] & (home | (leaf > at_home[row]))
             parts = [(t * n_leaves + leaf[take], row[take], home[take])]
-            for (tt, x, c), (first, n) in blocks.items():
-                if tt == t:
-                    there = leaf == x
-                    m = row[there & home & (own[row] == c)]
+            hot_here = np.isin(leaf, salted_leaves[t])
+            for x in np.unique(leaf[hot_here]):
+                there = leaf == x
+                for c, first, n in blocks[t][int(x)]:
+                    m = row[there & home & apart[row] & (own[row] == c)]
                     parts.append((first + (salt[m] % np.uint64(n)).astype(np.int64), m, np.ones(len(m), bool)))
-                    q = row[there & ((own[row] < 0) | (own[row] > c))]
+                    q = row[there & np.where(apart[row], own[row] > c, own[row] != c)]
                     parts += [(np.full(len(q), first + i), q, np.zeros(len(q), bool)) for i in range(n)]
             block, rows, member = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block.astype(np.int32)), pa.array(fps[rows].view(np.int64)), pa.array(member)], ["block", "fp", "member"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(fps[rows].view(np.int64)), pa.array(member)], ["block", "fp", "member"])
 
     def compare(group: pa.Table) -> pa.Table:
         block = group.column("block")[0].as_py()
@@ -303,7 +367,7 @@ def near_links(distinct: DataFrame, k: int = 4) -> DataFrame:
         linked = np.nonzero(parent != every)[0]
         return pa.table({"a": fps[linked].view(np.int64), "b": fps[parent[linked]].view(np.int64)})
 
-    shipped = labelled.select("fp", *(["cluster"] if len(hot) else [])).mapInArrow(send, "block int, fp bigint, member boolean")
+    shipped = labelled.select("fp", *(["cluster"] if len(hot) else [])).mapInArrow(send, "block bigint, fp bigint, member boolean")
     links = shipped.groupBy("block").applyInArrow(compare, "a bigint, b bigint")
     if len(hot):
         names = F.element_at(F.array(*[F.lit(root_fp[i]) for i in range(len(root_fp))]), F.col("cluster") + 1)
@@ -313,22 +377,51 @@ def near_links(distinct: DataFrame, k: int = 4) -> DataFrame:
     return links
 
 
+def _deepen(distinct: DataFrame, total: int, trees: list[Tree], extra: int) -> None:
+    """Fit ``extra`` levels below the trees' leaves, each on a sample of its own, by the tasks."""
+    share = min(1.0, PER_LEAF * 2.0 ** (trees[0].depth + extra) / max(1, total))
+    ticket = F.shiftrightunsigned(F.xxhash64("fp", F.lit(1)), 11) / F.lit(float(1 << 53))
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for t, tree in enumerate(trees):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), t)), pa.array(tree.home(fps)), batch.column(0)], ["t", "leaf", "fp"])
+
+    def fitted(group: pa.Table) -> pa.Table:
+        t, fps = group.column("t")[0].as_py(), np.sort(group.column("fp").to_numpy().view(np.uint64))
+        own = Tree(fps, trees[t].mask, trees[t].radius, extra)
+        return pa.table({"t": [t], "leaf": [group.column("leaf")[0].as_py()], "vantage": [own.vantage.tobytes()], "inner": [own.inner.tobytes()]})
+
+    drawn = distinct.where(ticket < share).select("fp").mapInArrow(homes, "t bigint, leaf bigint, fp bigint")
+    made = drawn.groupBy("t", "leaf").applyInArrow(fitted, "t bigint, leaf bigint, vantage binary, inner binary").toArrow()  # a row a leaf
+    size = (1 << extra) - 1
+    each = made.column("t").to_numpy()
+    for t, tree in enumerate(trees):
+        mine = made.filter(pa.array(each == t))
+        matrix = lambda name, kind: np.frombuffer(b"".join(mine.column(name).to_pylist()), kind).reshape(-1, size)  # noqa: B023, E731
+        tree.deepened(extra, mine.column("leaf").to_numpy(), matrix("vantage", np.uint64), matrix("inner", np.int16))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, shingle: int = 4) -> DataFrame:
     """``(id, fp, fingerprint, component_id)`` for every row of ``docs``.
 
     ``component_id`` is the smallest id that chains of links reach, the row's own
     included.  Null texts count as empty; rows with a null id take part, and get
     a null component only if no id is reachable.  Repeated rows give repeated
-    rows; an empty table gives none; further columns are left alone.
+    rows; texts may be of any length; an empty table gives no rows; further columns
+    are left alone.
     """
-    if id_col == "fp":
-        docs, id_col = docs.withColumnRenamed("fp", "id_"), "id_"
-    prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")), "distinct")
-    labels = connected(near_links(distinct.select("fp"), k))
-    rooted = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    heads = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(heads, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(
-        id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    spark = docs.sparkSession
+    docs = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
+    with scratch(spark):
+        prints = written(fingerprints(docs, "id_", "text_", shingle), "fingerprints", keep=True)
+        distinct = written(prints.groupBy("fp").agg(F.min("id_").alias("first_id"), F.count("*").alias("n")), "distinct")
+        labels = connected(near_links(distinct.select("fp"), k))
+        rooted = written(distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+        sums = rooted.agg(F.count("*").alias("fps"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+        heads = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("size")), "heads")
+        classes = written(looked_up(rooted, heads, ["root"], "size", sums.fps).select("fp", "component_id", "n"), "classes", keep=True)
+    found = looked_up(prints, classes, ["fp"], "n", sums.rows)
+    name = "id_" if id_col.lower() in ("fp", "fingerprint", "component_id") else id_col
+    return found.select(F.col("id_").alias(name), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docmill.llm import components, decontaminate, simhash, topk
+from docmill.llm import components, decontaminate, runtime, simhash, topk
 
 DOCS = "doc_id long, text string, fp string, score double"
 
@@ -69,8 +69,10 @@ def test_no_documents_no_rows(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
 
 
-def test_dense_clusters_lose_no_link(spark, monkeypatch):
-    for name, value in (("SAMPLE", 256), ("LEAVES", 16), ("BLOCK", 50)):
+@pytest.mark.parametrize("deep", [False, True])
+def test_dense_clusters_lose_no_link(spark, monkeypatch, deep):
+    sizes = {"SAMPLE": 256, "LEAVES": 16, "BLOCK": 50, "CROWDED": 4000}
+    for name, value in (sizes | ({"LEAVES": 4, "STAGE": 2, "LEAF": 16, "SALTED": 200, "DENSE": 0.3} if deep else {})).items():
         monkeypatch.setattr(simhash, name, value)
     rng = np.random.default_rng(1)
 
@@ -95,6 +97,50 @@ def test_dense_clusters_lose_no_link(spark, monkeypatch):
     assert len(set(zip(mine, want.tolist(), strict=True))) == len(set(mine)) == len(set(want.tolist()))
 
 
+def test_near_duplicates_with_dense_clusters(spark, monkeypatch):
+    """A cluster with a third of all fingerprints, through the whole operator, with hot keys everywhere."""
+    for module, name, value in ((simhash, "SAMPLE", 128), (simhash, "LEAVES", 16), (simhash, "BLOCK", 20), (runtime, "HOT", 8)):
+        monkeypatch.setattr(module, name, value)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    base = rng.choices(words, k=300)
+    near = [" ".join(base[:i] + [rng.choice(words)] + base[i + 1 :]) for i in range(0, 300, 2)]
+    rows = [(i, t, "c", 0.0) for i, t in enumerate([*near, *(" ".join(rng.choices(words, k=80)) for _ in range(200)), *[" ".join(base)] * 100])]
+    rows += [(None, rows[0][1], "c", 0.0)] * 50
+    got = simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    fps = sorted({plain_fingerprint(t) for _, t, *_ in rows})
+    group = dict(zip(fps, roots(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4), strict=True))
+    least = {}
+    for i, t, *_ in rows:
+        r = group[plain_fingerprint(t)]
+        if i is not None:
+            least[r] = min(i, least.get(r, i))
+    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == Counter((i, f"{plain_fingerprint(t):016x}", least[group[plain_fingerprint(t)]]) for i, t, *_ in rows)
+
+
+def test_deep_trees_find_homes_and_neighbours():
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 2**63, 4000, dtype=np.uint64)
+    tree = simhash.Tree(fps[:500], simhash.bands_of(4)[0][0], 1, 4)
+    home = tree.home(fps)
+    below = {int(x): simhash.Tree(fps[home == x], tree.mask, 1, 3) for x in np.unique(home)[:-1]}
+    tree.deepened(3, np.array(list(below)), np.stack([t.vantage for t in below.values()]), np.stack([t.inner for t in below.values()]))
+    row, leaf, is_home = tree.route(fps)
+    deep = tree.home(fps)
+    assert tree.depth == 7 and (deep >> 3 == home).all() and (np.bincount(row[is_home], minlength=len(fps)) == 1).all() and (leaf[is_home] == deep[row[is_home]]).all()
+    reach = set(zip(row.tolist(), leaf.tolist(), strict=True))
+    x, y = np.nonzero(np.bitwise_count((fps[:300, None] ^ fps[None, :]) & tree.mask) <= 1)
+    assert all((int(a), int(deep[b])) in reach for a, b in zip(x, y, strict=True))
+
+
+def test_components_of_stars_and_repeats(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "HOT", 3)
+    links = [(0, i) for i in range(1, 400)] + [(1000 + i, 2000) for i in range(50)] + [(0, 5)] * 30 + [(5000, 5001)]
+    got = {r.node: r.root for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert len(got) == 400 + 51 + 2
+    assert len({got[i] for i in range(400)}) == 1 and len({got[i] for i in [*range(1000, 1050), 2000]}) == 1 and len(set(got.values())) == 3
+
+
 def test_components_of_a_long_chain(spark):
     links = [(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7), (None, 3)]
     got = {r.node: r.root for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}

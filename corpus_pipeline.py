@@ -4,6 +4,11 @@ Language identification drops documents without letters, quality those voted
 low, near-dedup keeps one row, that with the smallest id, of each group of near
 copies, decontamination drops documents that benchmark passages cover, and the
 rest is encoded (and decoded) by byte-level BPE.
+
+Ids and languages may be null and ids repeated: rows are rows, told apart by a
+number of their own where that matters.  Null and empty texts have no letter and
+go with the first stage; texts may be of any length; columns besides those of
+documents are left out, and empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm import bpe, decontaminate, langid, quality, simhash
-from docmill.llm.runtime import documents, table, written
+from docmill.llm.runtime import documents, fresh_path, scratch, table, written
+from docmill.plans.storage import deleted
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -66,7 +72,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select(COLUMNS)
+    """The last stage's rows; a stage's table and what it wrote on the way go when the next one's is there."""
+    docs, before = documents(spark, sf_dir).select(COLUMNS), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = fresh_path(spark, f"stage-{name}")
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        if before:
+            deleted(spark, before)
+        docs, before = spark.read.schema(made.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,6 +1,10 @@
 """The pipeline's stages against plain versions of their decisions."""
 
 import random
+from collections import Counter
+from pathlib import Path
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docmill.llm import decontaminate, simhash
@@ -40,6 +44,30 @@ def test_pipeline_keeps_clean_documents_and_drops_the_planted(spark, tmp_path):
     assert got == want and 125 not in got and 120 not in got
 
 
+def test_repeated_ids_extra_columns_and_empty_tables(spark, tmp_path):
+    rows, item = made(tmp_path, spark)
+    clash = spark.createDataFrame([(i, t, x, s, n, "c", 0.5, 1) for i, t, x, s, n in [*rows, rows[3], (3, rows[4][1] + " more words here", "en", "s", 1), (None, rows[5][1].replace("w", "v"), None, None, None)]], COLUMNS + ", fp string, score double, row_ int")
+    other = tmp_path / "clash"
+    clash.write.parquet(f"{other}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").withColumn("text_", F.lit("c")).write.parquet(f"{other}/{t}.parquet")
+    plain = Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
+    got = Counter(map(tuple, corpus_pipeline.run(spark, str(other)).collect()))
+    assert not plain - got and sum((got - plain).values()) <= 2 and any(k[0] is None for k in got)
+    none = tmp_path / "none"
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").limit(0).write.parquet(f"{none}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(none)).collect() == []
+
+
+def test_stages_leave_only_the_last_table(spark, tmp_path):
+    made(tmp_path, spark)
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "docmill"
+    before = set(folder.glob("*")) if folder.exists() else set()
+    corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert [p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before] == ["stage-decontamination"]
+
+
 def test_stages_return_the_columns_of_documents(spark, tmp_path):
     made(tmp_path, spark)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")

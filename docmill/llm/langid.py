@@ -164,7 +164,8 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     if not counts:
         return fit([])
     per = max(1, min(PER_LANGUAGE, SAMPLE // len(counts)))
-    shares = docs.sparkSession.createDataFrame([(r.l, min(1.0, (per + 5 * per**0.5 + 10) / r.n)) for r in counts], "l string, share double")  # its size is known to the planner
+    # a local relation: the planner knows its size, and broadcasts it if that is small
+    shares = docs.sparkSession.createDataFrame(pa.table({"l": [r.l for r in counts], "share": [min(1.0, (per + 5 * per**0.5 + 10) / r.n) for r in counts]}))
     ticket = F.shiftrightunsigned(F.xxhash64(F.col("id_").cast("string"), "t"), 11) / F.lit(float(1 << 53))
     drawn = known.withColumn("k", ticket).join(shares, "l").where("k < share").select("l", "k", F.xxhash64("t").alias("h"), utf8("t").alias("t"))
     sample = drawn.dropDuplicates(["l", "k", "h"]).mapInArrow(_reduced, "l string, k double, h bigint, g binary, n binary")

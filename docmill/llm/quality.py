@@ -37,7 +37,7 @@ NEIGHBOURS = 25
 SHARPNESS = 4.0
 THRESHOLD = 0.3
 #: Documents whose cosines are computed at a time, and the steps of a cosine.
-BLOCK, STEPS = 512, 100_000
+BLOCK, STEPS = 256, 100_000
 #: Shapes of words up to so many bytes are remembered.
 REMEMBER = 64
 CLASSES = bytes(
@@ -105,10 +105,12 @@ class Model:
     def votes(self, vectors: np.ndarray) -> np.ndarray:
         """The weighted votes of the nearest sample rows; the prior for vectors without terms."""
         out = np.full(len(vectors), self.prior)
-        k, first = min(NEIGHBOURS, len(self.labels)), np.arange(len(self.labels))[::-1]
+        n = len(self.labels)
+        kind = np.int32 if (STEPS + 1) * n < 1 << 31 else np.int64
+        k, first = min(NEIGHBOURS, n), np.arange(n, dtype=kind)[::-1]
         for i in range(0, len(vectors) if k else 0, BLOCK):
-            cosines = np.rint(vectors[i : i + BLOCK] @ self.vectors.T * STEPS).astype(np.int64)
-            near = np.argpartition(cosines * len(first) + first, -k, axis=1)[:, -k:]
+            cosines = np.rint(vectors[i : i + BLOCK] @ self.vectors.T * STEPS).astype(kind)
+            near = np.argpartition(cosines * kind(n) + first, -k, axis=1)[:, -k:]
             near.sort(axis=1)  # sums in the sample's order
             weight = np.clip(np.take_along_axis(cosines, near, axis=1) / STEPS, 0, 1) ** SHARPNESS
             total = weight.sum(axis=1)

@@ -39,7 +39,7 @@ THRESHOLD = 0.3
 #: Documents whose cosines are computed at a time, and the steps of a cosine.
 BLOCK, STEPS = 256, 100_000
 #: Shapes of words up to so many bytes are remembered.
-REMEMBER = 64
+REMEMBER = 32
 CLASSES = bytes(
     97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256)
 )
@@ -64,7 +64,7 @@ def terms_of(data: bytes | None, words: frozenset | None = None, shapes: dict |
         if s is None:
             s = b"~" + shape(run)
             if len(run) <= REMEMBER:
-                if len(shapes) > 50_000:
+                if len(shapes) > 20_000:
                     shapes.clear()
                 shapes[run] = s
         found[s] = found.get(s, 0) + n

@@ -32,7 +32,7 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{type(e).__name__}: {e}", file=sys.stderr)
         return 1
     print(f"{report['result']}: {out}")
-    return 2 if report["result"] == "failure" else 0
+    return 2 if report["result"] == "failure" or report["counts"].get("failed") else 0
 
 
 if __name__ == "__main__":

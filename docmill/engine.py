@@ -19,6 +19,7 @@ from docmill.plans.storage import written
 from docmill.sinks import parts as sink
 
 REPORT, README, READY = "relatorio_conversao.json", "LEIA-ME.txt", "PRONTO_PARA_IA"  # fixed values
+SEGMENTED, TOO_LARGE = "oversized_message_segmented", "record_exceeds_partition_limits"  # fixed values
 
 
 class UnknownFormat(ValueError):
@@ -129,56 +130,39 @@ def _mail(spark: SparkSession, path: str, ready: str, s: Settings) -> dict:
     from docmill.sources import mbox
 
     raw = written(mbox.read(spark, path, s.include_html), "mail")
-    good = raw.where("error is null")
-    limit_bytes, limit_tokens = s.max_bytes - (2 if s.as_array else 1), s.max_tokens - 1
-    whole = F.to_json(F.struct("record_id", "source", "data", "processing"), {"ignoreNullFields": "false"})
-    sized = good.withColumn("n", F.octet_length(whole))
-    limit = packing.limit_of(limit_bytes, limit_tokens)
-    body, rest = F.col("data.body_text"), F.col("n") - F.octet_length("data.body_text")
-    small = sized.where(F.col("n") <= limit).select("*", F.lit(None).cast("int").alias("number"), F.lit(None).cast("int").alias("count"), body.alias("body"))
-    cut = split_bodies(sized.where(F.col("n") > limit).withColumn("room", limit - rest - 64))
-    every = small.select("offset", "data", "number", "count", "body").unionByName(cut)
+    good = raw.where("error is null").withColumn("at", F.concat_ws("\0", "source.file_name", F.lpad(F.col("offset").cast("string"), 20, "0")))
+    limit = packing.limit_of(s.max_bytes - (2 if s.as_array else 1), s.max_tokens - 1)
+    # the envelope that a piece would have: no body, no HTML, a warning more and its numbers
+    json = lambda data, own: F.to_json(F.struct("record_id", "source", data.alias("data"), own.alias("processing")), {"ignoreNullFields": "false"})
+    own, data = F.col("processing"), F.col("data")
+    noted = own.withField("warnings", F.concat("processing.warnings", F.array(F.lit(SEGMENTED)))).withField("segment_number", F.lit(1)).withField("segment_count", F.lit(packing.UNKNOWN_COUNT))
+    bare = data.withField("body_text", F.lit(""))
+    bare = bare.withField("body_html", F.lit(None).cast("string")) if s.include_html else bare
+    sized = good.withColumn("n", F.octet_length(json(data, own))).withColumn("frame", F.octet_length(json(bare, noted)))
+    text = F.col("data.body_text")
+    large = (F.col("n") > limit) & (text != "")
+    none = F.lit(None).cast("int")
+    whole = sized.where(~large).select("at", "data", none.alias("number"), none.alias("count"), text.alias("body"), (F.col("n") > limit).alias("oversized"))
+    pieces = packing.mail_segments(sized.where(large).select("at", "frame", text.alias("body")), "at", "body", "frame", limit).join(good.select("at", "data"), "at")
+    cut = pieces.select(
+        "at", "data", F.when(~F.col("oversized"), F.col("segment")).alias("number"), F.when(~F.col("oversized"), F.col("segments")).alias("count"), F.substring(text, F.col("start") + 1, F.col("length")).alias("body"), "oversized"
+    )
+    every = written(whole.unionByName(cut), "bodies")
     d = lambda k: F.col(f"data.{k}")
     fields = {k: d(k) for k in ("date", "from", "to", "cc", "bcc", "subject", "thread_id", "attachments")} | {"body": F.col("body"), "segment_number": F.col("number"), "segment_count": F.col("count")}
     if s.include_html:
         fields["html"] = F.when(F.col("number").isNull(), d("body_html"))
-    ord_ = F.struct(F.col("offset"), F.coalesce("number", F.lit(0)).alias("n"))
-    records = every.select((ord_["offset"] * 1_000_000 + ord_["n"]).alias("ord"), email.compact(fields).alias("json"), d("date").alias("date"))
+    ord_ = F.concat_ws("\0", "at", F.lpad(F.coalesce("number", F.lit(0)).cast("string"), 10, "0"))
+    records = every.select(ord_.alias("ord"), email.compact(fields).alias("json"), d("date").alias("date"))
     made = _emit(written(records, "compact"), ready, s, "emails", True)
     c = raw.agg(F.count("*").alias("total"), F.count_if(F.col("error").isNull()).alias("converted"), F.coalesce(F.sum(F.size("data.attachments")), F.lit(0)).alias("attachments"), F.max("source.size_bytes").alias("size")).first()
-    segmented = cut.where("number = 1").count()
+    over = every.agg(F.count_if("oversized").alias("oversized"), F.count_if(F.col("number") == 1).alias("segmented")).first()
     failed = c.total - c.converted
-    warnings = [r.w for r in good.select(F.explode("processing.warnings").alias("w")).distinct().orderBy("w").collect()]
-    errors = [{"offset": r.offset, "error": r.error} for r in raw.where("error is not null").select("offset", "error").orderBy("offset").limit(1000).collect()]
-    return {"result": _result(c.converted, failed, bool(segmented)), "size_bytes": c.size, "counts": {"messages": c.total, "converted": c.converted, "failed": failed, "segmented": segmented, "attachments": c.attachments}, "warnings": warnings, "cleaning": _cleaning(good.select(F.col("data.body_text").alias("t")), "t"), "parts": made, "errors": errors}
-
-
-def split_bodies(rows: DataFrame) -> DataFrame:
-    """Bodies of rows with ``room`` cut so that every piece's JSON fits: ``(offset, data, number, count, body)``."""
-    from pyspark.sql.types import ArrayType, StringType
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def pieces(body, room):
-        import json
-
-        def cut(text: str, most: int) -> list[str]:
-            out, at = [], 0
-            while at < len(text):
-                good, bad = 0, len(text) - at + 1
-                while bad - good > 1:
-                    middle = (good + bad) // 2
-                    fits = len(json.dumps(text[at : at + middle], ensure_ascii=False).encode()) - 2 <= most
-                    good, bad = (middle, bad) if fits else (good, middle)
-                if not good:
-                    return [text]
-                out.append(text[at : at + good])
-                at += good
-            return out or [text]
-
-        return body.combine(room, lambda t, n: cut(t or "", int(n)))
-
-    made = rows.withColumn("p", pieces(F.col("data.body_text"), F.col("room")))
-    return made.select("offset", "data", F.size("p").alias("count"), F.posexplode("p").alias("k", "body")).select("offset", "data", (F.col("k") + 1).alias("number"), "count", "body")
+    warnings = {r.w for r in good.select(F.explode("processing.warnings").alias("w")).distinct().collect()}  # a row a warning
+    warnings |= {w for w, n in ((SEGMENTED, over.segmented), (TOO_LARGE, over.oversized)) if n}
+    errors = [{"file": r.f, "offset": r.offset, "error": r.error} for r in raw.where("error is not null").select(F.col("source.file_name").alias("f"), "offset", "error").orderBy("f", "offset").toLocalIterator()]
+    counts = {"messages": c.total, "converted": c.converted, "failed": failed, "segmented": over.segmented, "oversized": over.oversized, "attachments": c.attachments}
+    return {"result": _result(c.converted, failed, bool(over.segmented or over.oversized)), "size_bytes": c.size, "counts": counts, "warnings": sorted(warnings), "cleaning": _cleaning(good.select(F.col("data.body_text").alias("t")), "t"), "parts": made, "errors": errors}
 
 
 def _table(spark: SparkSession, path: str, ready: str, s: Settings) -> dict:
@@ -244,8 +228,19 @@ def _text(spark: SparkSession, path: str, ready: str, s: Settings) -> dict:
 def _grouped(units: DataFrame, ready: str, s: Settings, name: str, notes: Callable[[DataFrame], DataFrame] | None = None) -> list[dict]:
     """Units ``(ord, text)`` cut to size, grouped greedily, and written."""
     limit = packing.limit_of(s.max_bytes, s.max_tokens) - 512  # room for the header and notes
-    cut = packing.segments(units, "ord", "text", limit, limit // 2 + 1)
-    pieces = cut.join(units, "ord").select((F.col("ord") * 100_000 + F.col("segment")).cast("bigint").alias("page"), F.col("ord"), F.substring(F.col("text"), F.col("start") + 1, F.col("length")).alias("text"))
+    units = written(units, "units")
+    rest, between = units, None
+    if "kind" in units.columns:  # long tables between rows, with their header again; those that do not go so as text
+        tables = units.where("kind = 'table'").where(F.octet_length("text") > limit).withColumn("lines", F.split("text", "\n")).where(F.size("lines") > 2).withColumn("frame", F.lit(0))
+        parts = written(packing.table_segments(tables, "ord", "lines", "frame", limit).where("fits"), "tables")
+        body = F.concat(F.slice("lines", 1, 2), F.slice(F.col("lines"), F.col("row_start") + 2, F.col("row_end") - F.col("row_start") + 1))
+        between = parts.join(tables, "ord").select("ord", "segment", F.array_join(body, "\n").alias("text"))
+        rest = units.join(parts.select("ord").distinct(), "ord", "left_anti")
+    cut = packing.segments(rest, "ord", "text", limit, limit // 2 + 1)
+    pieces = cut.join(rest, "ord").select("ord", "segment", F.substring(F.col("text"), F.col("start") + 1, F.col("length")).alias("text"))
+    if between is not None:
+        pieces = pieces.union(between)
+    pieces = pieces.select((F.col("ord") * 100_000 + F.col("segment")).cast("bigint").alias("page"), "ord", "text")
     sized = written(pieces.withColumn("doc", F.lit(0)).withColumn("bytes", F.octet_length("text").cast("bigint")), "units")
     placed = blocks.group_pages(sized.select("doc", "page", "bytes"), limit).join(sized.select("page", "ord", "text"), "page")
     made = placed.groupBy("part").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n\n").alias("body"))
@@ -261,7 +256,7 @@ def _word(spark: SparkSession, path: str, ready: str, s: Settings) -> dict:
     r = docx.read(spark, path)
     errors = [x.asDict() for x in r["errors"].collect()]
     info = r["documents"].first()
-    made = [] if errors else _grouped(docx.markdown(r["blocks"]).select(F.col("block_start").alias("ord"), "text"), ready, s, path.rsplit("/", 1)[-1])
+    made = [] if errors else _grouped(docx.markdown(r["blocks"]).select(F.col("block_start").alias("ord"), "text", "kind"), ready, s, path.rsplit("/", 1)[-1])
     size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
     counts = {k: info[k] for k in ("paragraphs", "headings", "list_items", "tables", "images")} if info else {}
     warnings = info.warnings if info else []

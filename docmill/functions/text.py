@@ -1,15 +1,14 @@
 """Text expressions: Unicode cleaning, token estimates, HTML, slugs and formats.
 
-Everything is a column expression except Unicode normalisation and HTML parsing,
-which Spark lacks; these are Arrow-batched functions.
+Everything is a column expression except Unicode normalisation and the decoding of
+entities, which Spark lacks; to these Arrow-batched functions go only the texts
+that may need them.
 """
 
 from __future__ import annotations
 
 import html
-import re
 import unicodedata
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,6 +28,8 @@ C1_KNOWN = "".join(c for c, to in C1.items() if to)
 C1_UNKNOWN = "".join(c for c, to in C1.items() if not to)
 FROM = NO_BREAK_SPACE + LINE_SEPARATORS + C1_KNOWN + C1_UNKNOWN + INVISIBLE + CONTROLS
 TO = " \n\n" + "".join(C1[c] for c in C1_KNOWN)
+#: Unicode's white space.
+WHITE = "".join(chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 
 @F.pandas_udf(StringType())
@@ -43,8 +44,12 @@ def unaccented(s: pd.Series) -> pd.Series:
 
 
 def cleaned(c: Column) -> Column:
-    """One ``translate`` replaces, repairs and removes; normalisation follows."""
-    return nfc(F.translate(c, FROM, TO))
+    """One ``translate`` replaces, repairs and removes; normalisation follows.
+
+    Characters before U+0300 are normal whatever their neighbours, so only texts with others are sent to be normalised.
+    """
+    plain = F.translate(c, FROM, TO)
+    return F.coalesce(nfc(F.when(plain.rlike(r"[^\x{0}-\x{2ff}]"), plain)), plain)
 
 
 def occurrences(c: Column, characters: str) -> Column:
@@ -63,21 +68,28 @@ def rules() -> dict[str, str]:
 def rule_report(df: DataFrame, text: str) -> DataFrame:
     """``(rule, changes)`` over all texts, rules without a change left out.
 
-    Only the characters that a rule knows are kept of a text; they are counted
-    by character (combined before the shuffle), and the few dozen characters are
-    then renamed to their rules.
+    One pass, without a row a character: a rule's characters are counted by what
+    their removal takes from a text's length, and rules of single characters only in
+    the texts that hold any of their kind.
     """
-    known = F.regexp_replace(F.col(text), "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in FROM) + "]", "")
-    each = df.select(F.explode(F.split(known, "")).alias("c")).where("c <> ''")
-    counts = each.groupBy("c").agg(F.count("*").alias("n"))
-    names = {c: name for name, chars in rules().items() for c in chars}
-    pairs = F.create_map(*[x for c, name in names.items() for x in (F.lit(c), F.lit(name))])
-    return counts.groupBy(F.element_at(pairs, F.col("c")).alias("rule")).agg(F.sum("n").cast("bigint").alias("changes"))
+    t, sums = F.col(text), []
+    kinds = {"removed_": INVISIBLE, "control_": CONTROLS}
+    for name, characters in rules().items():
+        kind = next((k for start, k in kinds.items() if name.startswith(start)), None)
+        n = occurrences(t, characters)
+        sums.append((name, F.sum(n if kind is None else F.when(occurrences(t, kind) > 0, n)).cast("bigint")))
+    found = df.agg(F.array(*[F.struct(F.lit(name).alias("rule"), n.alias("changes")) for name, n in sums]).alias("r"))
+    return found.select(F.inline("r")).where("changes > 0")
 
 
 def stripped(c: Column) -> Column:
     """Without white space (Unicode) at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
+
+
+def folded(c: Column) -> Column:
+    """For comparisons whatever the case: by way of capitals, which spell out what has none (and of one small sigma)."""
+    return F.lower(F.translate(F.upper(c), "\u03a3", "\u03c3"))
 
 
 def tokens(c: Column) -> Column:
@@ -95,7 +107,7 @@ def line_terminator(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """The lines of a text; a final line break ends the last one."""
-    parts = F.split(F.regexp_replace(c, "\r\n?", "\n"), "\n")
+    parts = F.split(F.when(F.contains(c, F.lit("\r")), F.regexp_replace(c, "\r\n?", "\n")).otherwise(c), "\n")
     return F.when(F.length(c) == 0, F.array().cast("array<string>")).when(F.endswith(c, F.lit("\n")) | F.endswith(c, F.lit("\r")), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
@@ -110,36 +122,36 @@ def preferred_break(window: Column, size: Column) -> Column:
     return out.cast("int")
 
 
-class _Blocks(HTMLParser):
-    """Collects text; block elements become line breaks."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.found: list[str] = []
-        self.handle_data = self.found.append
+#: What a page is made of: elements whose content is no markup, comments and declarations, tags, text, and a lone "<".
+MARKUP = r"""(?is)<(script|style)\b[^>]*+>.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|<[!?][^>]*+>|</?[a-z](?>[^>"']++|"[^"]*+"|'[^']*+')*+>|[^<]++|<"""
+RAW = r"(?is)^<(?:script|style)\b[^>]*+>(.*?)(?:</(?:script|style)\s*>)?\z"
 
-    def _block(self, tag: str, *_: object) -> None:
-        if tag.lower() in BLOCK_TAGS:
-            self.found.append("\n")
-
-    handle_starttag = handle_endtag = _block
 
+@F.pandas_udf(StringType())
+def unescaped(s: pd.Series) -> pd.Series:
+    """Entities decoded twice."""
+    return s.map(lambda x: x if x is None else html.unescape(html.unescape(x)))
 
-def text_of_html(source: str) -> str:
-    """Text of a page; entities are decoded twice and script text is kept."""
-    parser = _Blocks()
-    try:
-        parser.feed(source)
-        parser.close()
-    except Exception:
-        return re.sub(r"<[^>]+>", " ", source).strip()
-    text = re.sub(r"[ \t]+", " ", html.unescape("".join(parser.found)))
-    return re.sub(r"\n\s*\n\s*\n+", "\n\n", text).strip()
 
+def html_text(c: Column | str) -> Column:
+    """Text of a page: block tags are line breaks, other tags nothing; entities are decoded twice, those in scripts once.
 
-@F.pandas_udf(StringType())
-def html_text(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else text_of_html(x))
+    The page is cut into tags and texts, each of which is turned into what it
+    leaves; only pages with entities leave the JVM.
+    """
+    page = F.col(c) if isinstance(c, str) else c
+
+    def left(part: Column) -> Column:
+        name = F.lower(F.regexp_extract(part, r"^</?([a-zA-Z][^\s/>]*)", 1))
+        # an ampersand that is to be decoded once is written as its entity
+        raw = F.replace(F.regexp_extract(part, RAW, 1), F.lit("&"), F.lit("&amp;"))
+        tag = F.when(name.isin("script", "style"), F.when(F.startswith(part, F.lit("</")), "").otherwise(raw)).when(name.isin(*BLOCK_TAGS), "\n").when((name != "") | part.rlike(r"^<[!?]"), "").otherwise(part)
+        return F.when(F.startswith(part, F.lit("<")), tag).otherwise(part)
+
+    text = F.array_join(F.transform(F.regexp_extract_all(page, F.lit(MARKUP), F.lit(0)), left), "")
+    text = F.coalesce(unescaped(F.when(F.contains(text, F.lit("&")), text)), text)
+    narrow = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"(?U)\n\s*\n\s*\n+", "\n\n")
+    return F.when(page.isNotNull(), stripped(narrow))
 
 
 def slug(c: Column) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.plans.storage import written
+
 
 def sections_by_level(blocks: DataFrame) -> DataFrame:
     """Sections of blocks ``(doc, idx, level, text)`` with a null level for plain blocks.
@@ -87,17 +91,16 @@ def group_pages(units: DataFrame, max_bytes: int) -> DataFrame:
     return per_doc.select("doc", F.inline(F.aggregate("pages", start, step, lambda a: a["out"])))
 
 
-def outline_depths(nodes: DataFrame, most: int = 32) -> DataFrame:
-    """Depth of each node of an adjacency table ``(doc, node, parent)``, level by level.
+def outline_depths(nodes: DataFrame) -> DataFrame:
+    """Depth of each node of an adjacency table ``(doc, node, parent)``, level by level, to any depth.
 
-    Every round joins the last level only; checkpoints are not needed for the
-    few levels that outlines have.
+    Every round joins the last level only, a written table, so plans stay small;
+    nodes that no root leads to have no depth.
     """
-    level = nodes.where("parent is null").select("doc", "node", F.lit(1).alias("depth"))
-    out = level
-    for depth in range(2, most + 1):
-        level = nodes.join(level.select("doc", F.col("node").alias("parent")), ["doc", "parent"]).select("doc", "node", F.lit(depth).alias("depth"))
-        if level.isEmpty():
-            break
-        out = out.union(level)
-    return out
+    nodes = written(nodes.select("doc", "node", "parent"), "nodes")
+    level, levels, depth = written(nodes.where("parent is null").select("doc", "node", F.lit(1).alias("depth")), "level"), [], 1
+    while not level.isEmpty():
+        levels.append(level)
+        depth += 1
+        level = written(nodes.join(level.select("doc", F.col("node").alias("parent")), ["doc", "parent"]).select("doc", "node", F.lit(depth).alias("depth")), "level")
+    return functools.reduce(DataFrame.union, levels, level)

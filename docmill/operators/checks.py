@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.functions.text import stripped
+from docmill.functions.text import folded, stripped
 
 # -- fixed values -------------------------------------------------------------------------
 TYPES = ("empty", "boolean", "integer", "number", "date", "datetime", "time", "string", "mixed")
@@ -17,7 +17,7 @@ EXTRACTION_METHODS = ("embedded_text", "ocr", "none")
 def columns(cols: DataFrame) -> DataFrame:
     """Per dataset of ``(dataset, idx, name)``: indices from 1, names filled and unique whatever their case."""
     return cols.groupBy("dataset").agg(
-        F.bool_and(F.col("idx") >= 1).alias("index_ok"), F.bool_and(stripped(F.col("name")) != "").alias("name_ok"), (F.count_distinct(F.lower("name")) == F.count("*")).alias("unique_ok")
+        F.bool_and(F.col("idx") >= 1).alias("index_ok"), F.bool_and(stripped(F.col("name")) != "").alias("name_ok"), (F.count_distinct(folded(F.col("name"))) == F.count("*")).alias("unique_ok")
     )
 
 
@@ -55,7 +55,7 @@ def formula_ok(reference: Column, formula: Column) -> Column:
 
 def looks_like_header(cells: Column) -> Column:
     """All cells are filled text and differ whatever their case."""
-    bare = F.transform(cells, lambda c: F.lower(stripped(c)))
+    bare = F.transform(cells, lambda c: folded(stripped(c)))
     return F.coalesce(F.forall(bare, lambda c: c != "") & (F.size(F.array_distinct(bare)) == F.size(cells)), F.lit(False))
 
 

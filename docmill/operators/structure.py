@@ -25,42 +25,41 @@ def _line(found: Column, i: Column) -> Column:
     return F.coalesce(F.get(found, i), F.lit(""))
 
 
-def _blank(c: Column) -> Column:
-    return stripped(c) == ""
+def _rule(found: Column, bare: Column, i: Column) -> Column:
+    """Which rule makes line i (from 0) a heading, as far as neighbours decide it.
 
-
-def _rule(found: Column, i: Column) -> Column:
-    """Which rule makes line i (from 0) a heading, as far as neighbours decide it."""
-    line = _line(found, i)
-    bare = stripped(line)
+    A look at a line's first character or at its length spares most lines the patterns.
+    """
+    own, first = _line(bare, i), F.substring(_line(bare, i), 1, 1)
     upper = (
-        ((i == 0) | _blank(_line(found, i - 1)))
-        & ((i == F.size(found) - 1) | _blank(_line(found, i + 1)))
-        & F.length(bare).between(SHORTEST, LONGEST)
-        & (F.size(F.split(bare, r"(?U)\s+")) <= MOST_WORDS)
-        & bare.rlike(r"\p{L}")
-        & (bare == F.upper(bare))
-        & ~F.substring(bare, -1, 1).isin(*CLOSING)
+        F.length(own).between(SHORTEST, LONGEST)
+        & (own == F.upper(own))
+        & ((i == 0) | (_line(bare, i - 1) == ""))
+        & ((i == F.size(found) - 1) | (_line(bare, i + 1) == ""))
+        & ~F.substring(own, -1, 1).isin(*CLOSING)
+        & own.rlike(r"\p{L}")
+        & (F.size(F.split(own, r"(?U)\s+")) <= MOST_WORDS)
     )
     return (
-        F.when(_blank(line), "none")
-        .when(line.rlike(ATX), "atx")
-        .when(_line(found, i + 1).rlike(UNDERLINE), "underlined")
-        .when(line.rlike(NUMBERED), "numbered")
+        F.when(own == "", "none")
+        .when((first == "#") & _line(found, i).rlike(ATX), "atx")
+        .when(F.substring(_line(bare, i + 1), 1, 1).isin("=", "-") & _line(found, i + 1).rlike(UNDERLINE), "underlined")
+        .when(first.rlike(r"(?U)\d") & _line(found, i).rlike(NUMBERED), "numbered")
         .when(upper, "upper")
         .otherwise("none")
     )
 
 
-def headings(found: Column) -> Column:
-    """``array<struct<level, text, line_number>>`` of a plain text's lines.
+def headings(found: Column, bare: Column) -> Column:
+    """``array<struct<level, text, line_number>>`` of a plain text's lines, and the same lines stripped.
 
-    ``found`` should be a column of its own, so that lines are split once.  An underline that an underlined heading has used is no heading itself, so
-    rules are applied in order with the used line carried along.
+    Both should be columns of their own, so that lines are split and stripped once.
+    An underline that an underlined heading has used is no heading itself, so rules
+    are applied in order with the used line carried along.
     """
     at = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
     # only lines that could be headings go through the fold
-    ruled = F.filter(F.transform(at, lambda i: F.struct(i.alias("i"), _rule(found, i).alias("rule"))), lambda r: r["rule"] != "none")
+    ruled = F.filter(F.transform(at, lambda i: F.struct(i.alias("i"), _rule(found, bare, i).alias("rule"))), lambda r: r["rule"] != "none")
     none = F.array().cast("array<struct<i:int,rule:string>>")
     kept = F.aggregate(
         ruled,
@@ -92,7 +91,8 @@ def with_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def with_headings(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``lines`` and ``headings``."""
-    return with_lines(docs, text).withColumn("headings", headings(F.col("lines")))
+    both = with_lines(docs, text).withColumn("bare_", F.transform("lines", stripped))
+    return both.withColumn("headings", headings(F.col("lines"), F.col("bare_"))).drop("bare_")
 
 
 def sections(text: Column, all_: Column, found: Column) -> Column:

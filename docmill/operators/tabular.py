@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.cells import kind, lattice, literal
-from docmill.functions.text import stripped, unaccented
+from docmill.functions.text import folded, stripped, unaccented
 
 #: Delimiters in order of preference, and what is looked at to decide.
 DELIMITERS = (",", ";", "\t", "|")
@@ -60,21 +60,18 @@ def has_header(table: DataFrame, delimiter: Column | str = ";") -> DataFrame:
     else whether the first row's cells differ."""
     value = stripped(F.col("raw"))
     typed = table.withColumn("kind", kind(value, delimiter)).withColumn("value", value)
-    first = F.min("row_no").over(Window.partitionBy("dataset"))
-    marked = typed.withColumn("head", F.col("row_no") == first)
-    widths = marked.groupBy("dataset").agg(
-        F.countDistinct("row_no").alias("rows"),
-        F.max(F.when(F.col("head"), F.col("col_no"))).alias("width"),
-        F.coalesce(F.bool_or(F.when(F.col("head"), F.col("kind") == "empty")), F.lit(False)).alias("blank"),
-        F.coalesce(F.bool_or(F.when(F.col("head"), ~F.col("kind").isin("string", "empty"))), F.lit(False)).alias("typed"),
-        F.max(F.when(~F.col("head") & ~F.col("kind").isin("string", "empty"), -F.col("col_no"))).alias("least"),
-        F.count_distinct(F.when(F.col("head"), F.lower("value"))).alias("different"),
+    other = ~F.col("kind").isin("string", "empty")
+    # a row of a table first, so that no task holds a table
+    per_row = typed.groupBy("dataset", "row_no").agg(
+        F.max("col_no").alias("width"), F.bool_or(F.col("kind") == "empty").alias("blank"), F.min(F.when(other, F.col("col_no"))).alias("least"), F.count_distinct(folded(F.col("value"))).alias("different")
     )
-    later = F.coalesce(-F.col("least") <= F.col("width"), F.lit(False))
+    found = per_row.groupBy("dataset").agg(F.count("*").alias("rows"), F.min_by(F.struct("width", "blank", "least", "different"), "row_no").alias("head"), F.min("least").alias("least"))
+    # where the first row has text only, the least column of another kind is a later row's
+    later = F.coalesce(F.col("least") <= F.col("head.width"), F.lit(False))
     few = F.col("rows") < 2
-    return widths.select(
+    return found.select(
         "dataset",
-        F.when(few, True).when(F.col("blank") | F.col("typed"), False).when(later, True).otherwise(F.col("different") == F.col("width")).alias("has_header"),
+        F.when(few, True).when(F.col("head.blank") | F.col("head.least").isNotNull(), False).when(later, True).otherwise(F.col("head.different") == F.col("head.width")).alias("has_header"),
         F.when(few, "csv_header_detection_insufficient_rows_first_row_assumed").alias("warning"),
     )
 
@@ -135,3 +132,12 @@ def padded(parts: Column, width: Column | int) -> Column:
     """A row's cells filled up with empty ones, or cut, to a width."""
     n = F.lit(width) if isinstance(width, int) else width
     return F.slice(F.concat(parts, F.array_repeat(F.lit(""), F.greatest(n - F.size(parts), F.lit(0)))), F.lit(1), n)
+
+
+def used_range(cells: DataFrame, sheet: str) -> DataFrame:
+    """Per sheet of cells ``(sheet, row_no, col_no, filled)``: the first and last row and column with a filled cell (null without any), and how many are."""
+    own = lambda c: F.when(F.col("filled"), F.col(c))
+    return cells.groupBy(sheet).agg(
+        F.min(own("row_no")).alias("first_row"), F.max(own("row_no")).alias("last_row"), F.min(own("col_no")).alias("first_col"), F.max(own("col_no")).alias("last_col"),
+        F.count_if("filled").alias("filled"), F.count("*").alias("cells"),
+    )

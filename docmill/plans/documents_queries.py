@@ -121,7 +121,7 @@ HEADED_SQL = """CASE doc_id % 6
   WHEN 1 THEN 'SUMMARY PART' || chr(10) || chr(10) || text || chr(10) || chr(10) || 'ANNEX' || chr(10)
   WHEN 2 THEN text || chr(10) || '1.2. Scope of it' || chr(10) || text
   WHEN 3 THEN 'Under one' || chr(10) || '=====' || chr(10) || text || chr(10) || 'Under two' || chr(10) || '---' || chr(10) || 'end'
-  WHEN 4 THEN '  ## Two ##' || chr(10) || '3. Three' || chr(10) || 'x' || chr(10)
+  WHEN 4 THEN '  ## Two ##' || chr(10) || '3. Three' || chr(10) || 'x' || chr(10) || text
   ELSE text END"""
 
 
@@ -132,16 +132,11 @@ def headed(c: Column) -> Column:
         .when(k == 1, F.concat(F.lit("SUMMARY PART\n\n"), c, F.lit("\n\nANNEX\n")))
         .when(k == 2, F.concat(c, F.lit("\n1.2. Scope of it\n"), c))
         .when(k == 3, F.concat(F.lit("Under one\n=====\n"), c, F.lit("\nUnder two\n---\nend")))
-        .when(k == 4, F.lit("  ## Two ##\n3. Three\nx\n"))
+        .when(k == 4, F.concat(F.lit("  ## Two ##\n3. Three\nx\n"), c))
         .otherwise(c)
     )
 
 
-def headed_whole(c: Column) -> Column:
-    """Like :func:`headed`, with the text kept after the constant lines of case 4 too."""
-    return F.when(F.pmod("doc_id", F.lit(6)) == 4, F.concat(headed(c), c)).otherwise(headed(c))
-
-
 LINES_SQL = f"""WITH t AS (SELECT doc_id, {HEADED_SQL} AS body FROM documents),
 s AS (SELECT doc_id, body, CASE WHEN body LIKE '%' || chr(10) THEN string_split(body[:-2], chr(10)) ELSE string_split(body, chr(10)) END AS ls FROM t),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS n FROM s),
@@ -164,10 +159,7 @@ h AS (SELECT doc_id, n AS line_number,
 
 @query(LINES_SQL + " SELECT doc_id, CAST(level AS INTEGER) AS level, title, CAST(line_number AS INTEGER) AS line_number FROM h")
 def text_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _headings(table(spark, sf_dir, "documents").select("doc_id", headed(F.col("text")).alias("t")))
-
-
-def _headings(rows: DataFrame) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", headed(F.col("text")).alias("t"))
     return structure.outline(rows, "doc_id", "t").withColumnRenamed("text", "title")
 
 
@@ -179,10 +171,7 @@ x AS (SELECT e.doc_id, level, title, line_number AS start_line, end_line, line_n
 y AS (SELECT x.doc_id, level, title, start_line, end_line, trim(coalesce(string_agg(l.line, chr(10) ORDER BY l.n), ''), ' ' || chr(10)) AS content FROM x LEFT JOIN l ON l.doc_id = x.doc_id AND l.n BETWEEN x.b AND x.end_line GROUP BY ALL)
 SELECT doc_id, title, CAST(level AS INTEGER) AS level, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, sha256(content) AS content_sha256 FROM y WHERE title IS NOT NULL OR content <> '' OR doc_id NOT IN (SELECT doc_id FROM p)""")
 def text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sections(table(spark, sf_dir, "documents").select("doc_id", headed(F.col("text")).alias("t")))
-
-
-def _sections(rows: DataFrame) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", headed(F.col("text")).alias("t"))
     found = structure.with_headings(rows, "t").select("doc_id", F.inline_outer(structure.sections(F.col("t"), F.col("lines"), F.col("headings")))).where("start_line is not null")
     return found.select("doc_id", "title", "level", "start_line", "end_line", F.sha2("content", 256).alias("content_sha256"))
 
@@ -194,39 +183,12 @@ b AS (SELECT s.doc_id, any_value(s.body) AS body, coalesce(string_agg(o, chr(10)
 SELECT doc_id, sha256(md || CASE WHEN body LIKE '%' || chr(10) THEN chr(10) ELSE '' END) AS body_sha256,
  '> Fonte: doc' || doc_id || '.txt — parte 1/2 (linhas 1–' || total || ')' AS header FROM b""")
 def markdown_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _markdown(table(spark, sf_dir, "documents").select("doc_id", headed(F.col("text")).alias("t")))
-
-
-def _markdown(texts: DataFrame) -> DataFrame:
-    rows = structure.with_headings(texts, "t")
+    rows = structure.with_headings(table(spark, sf_dir, "documents").select("doc_id", headed(F.col("text")).alias("t")), "t")
     name = F.concat(F.lit("doc"), "doc_id", F.lit(".txt"))
     header = structure.part_header(name, F.lit(1), F.lit(2), F.lit(1), F.size("lines"))
     return rows.select("doc_id", F.sha2(structure.markdown_body(F.col("t"), F.col("lines"), F.col("headings")), 256).alias("body_sha256"), header.alias("header"))
 
 
-# The same three over whole texts, those of case 4 included.
-HEADED_WHOLE_SQL = HEADED_SQL.replace("'x' || chr(10)", "'x' || chr(10) || text")
-
-
-def _headed_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", headed_whole(F.col("text")).alias("t"))
-
-
-@query(ORACLES["text_headings"].replace(HEADED_SQL, HEADED_WHOLE_SQL))
-def text_headings_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _headings(_headed_whole(spark, sf_dir))
-
-
-@query(ORACLES["text_sections"].replace(HEADED_SQL, HEADED_WHOLE_SQL))
-def text_sections_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sections(_headed_whole(spark, sf_dir))
-
-
-@query(ORACLES["markdown_body"].replace(HEADED_SQL, HEADED_WHOLE_SQL))
-def markdown_body_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _markdown(_headed_whole(spark, sf_dir))
-
-
 # -- packing and segmentation -----------------------------------------------------------
 def _pack_sql(select: str, limit: int = 20_000) -> str:
     return f"""WITH RECURSIVE o AS (SELECT source, doc_id, strlen(text) + 1 AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
@@ -251,20 +213,74 @@ def pack_parts_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.manifest(_parts(spark, sf_dir)).select("source", "part", "file", "records", "size_bytes", "estimated_tokens")
 
 
-@query("""WITH RECURSIVE t AS (SELECT doc_id, replace(replace(translate(text, 'ñáéíóúüöäßèêçàôîûâ', 'naeiouuoaseecaoiua'), chr(10), ' '), 'Ñ', 'N') AS b FROM documents),
-u AS (SELECT doc_id, regexp_replace(b, '[^ -~]', '?', 'g') AS body FROM t),
-w AS (SELECT doc_id, body, length('> Fonte:  — parte /999999 (linhas 1–1)') + 4 + 3 + length('d' || doc_id || '.txt') + 2 AS fixed, 3000 AS lim FROM u),
-c AS (SELECT doc_id, body, fixed, lim, 1 AS seg, 0 AS start, CAST(NULL AS BIGINT) AS len FROM w WHERE octet_length(encode(body)) + length('d' || doc_id || '.txt') + 13 > lim)
-SELECT doc_id, CAST(strlen(body) AS BIGINT) AS n_bytes, strlen(body) + length('d' || doc_id || '.txt') + 13 > 3000 AS is_split FROM w""")
+# Whole texts in ASCII and on one line, in which bytes are characters and nothing is escaped.
+PLAIN_SQL = """t AS (SELECT doc_id, replace(replace(translate(text, 'ñáéíóúüöäßèêçàôîûâ', 'naeiouuoaseecaoiua'), chr(10), ' '), 'Ñ', 'N') AS b FROM documents),
+u AS (SELECT doc_id, translate(regexp_replace(b, '[^ -~]', '?', 'g'), '"' || chr(92), '~/') AS body FROM t)"""
+
+
+def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = F.replace(F.replace(F.translate("text", "ñáéíóúüöäßèêçàôîûâ", "naeiouuoaseecaoiua"), F.lit("\n"), F.lit(" ")), F.lit("Ñ"), F.lit("N"))
+    body = F.translate(F.regexp_replace(plain, "[^ -~]", "?"), '"\\', "~/")
+    return table(spark, sf_dir, "documents").select("doc_id", body.alias("body"), F.concat(F.lit("d"), "doc_id", F.lit(".txt")).alias("name"))
+
+
+@query(f"""WITH {PLAIN_SQL} SELECT doc_id, CAST(strlen(body) AS BIGINT) AS n_bytes, strlen(body) + length('d' || doc_id || '.txt') + 13 > 3000 AS is_split FROM u""")
 def oversize_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents are cut: the test that keeps all others away from the Python function."""
-    plain = F.replace(F.replace(F.translate("text", "ñáéíóúüöäßèêçàôîûâ", "naeiouuoaseecaoiua"), F.lit("\n"), F.lit(" ")), F.lit("Ñ"), F.lit("N"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(plain, "[^ -~]", "?").alias("body"), F.concat(F.lit("d"), "doc_id", F.lit(".txt")).alias("name"))
-    pieces = packing.segments(rows, "doc_id", "body", 3000, 3000, "name")
+    pieces = packing.segments(_plain(spark, sf_dir), "doc_id", "body", 3000, 3000, "name")
     found = pieces.groupBy("doc_id").agg(F.max("segments").alias("n"), F.sum("length").cast("bigint").alias("n_bytes"))
     return found.select("doc_id", "n_bytes", (F.col("n") > 1).alias("is_split"))
 
 
+# The longest prefix that fits ends where the room does, or at the end of the spaces that follow there.
+@query(f"""WITH RECURSIVE {PLAIN_SQL},
+w AS (SELECT doc_id, body, length(body) AS n, 3000 - strlen('> Fonte: d' || doc_id || '.txt — parte /999999 (linhas 1–1)') - 3 AS room FROM u),
+c AS (SELECT doc_id, body, n, room, 0 AS seg, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS cut FROM w WHERE n + length('d' || doc_id || '.txt') + 13 > 3000
+ UNION ALL SELECT doc_id, body, n, room, seg, start, CASE WHEN f >= length(t) // 2 AND f > 0 THEN f ELSE length(t) END FROM (
+  SELECT *, CASE WHEN contains(t, ' ') THEN length(t) - instr(reverse(t), ' ') + 1 ELSE 0 END AS f FROM (
+   SELECT doc_id, body, n, room, seg, start, substr(body, start + 1, r + length(substr(body, start + 1 + r)) - length(ltrim(substr(body, start + 1 + r)))) AS t FROM (
+    SELECT doc_id, body, n, room, seg + 1 AS seg, start + cut AS start, room - length(CAST(seg + 1 AS VARCHAR)) AS r FROM c WHERE start + cut < n)))),
+s AS (SELECT doc_id, seg, start, cut, max(seg) OVER (PARTITION BY doc_id) AS segments FROM c WHERE seg > 0
+ UNION ALL SELECT doc_id, 1, 0, n, 1 FROM w WHERE n + length('d' || doc_id || '.txt') + 13 <= 3000)
+SELECT doc_id, CAST(seg AS INTEGER) AS segment, CAST(segments AS INTEGER) AS segments, CAST(start AS INTEGER) AS start, CAST(cut AS INTEGER) AS length, cut = 0 AS oversized FROM s""")
+def plain_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounded Markdown segments with preferred breaks, of whole texts on one line."""
+    return packing.segments(_plain(spark, sf_dir), "doc_id", "body", 3000, 1500, "name").drop("line_start", "line_end")
+
+
+MAIL_FRAME, MAIL_LIMIT = 700, 2500
+_ROOM = MAIL_LIMIT - MAIL_FRAME
+
+
+@query(f"""WITH RECURSIVE {PLAIN_SQL},
+c AS (SELECT doc_id, body, 0 AS seg, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS cut FROM u WHERE length(body) > {_ROOM}
+ UNION ALL SELECT doc_id, body, seg + 1, start + cut, least(length(body) - start - cut, {_ROOM} + 1 - length(CAST(seg + 1 AS VARCHAR))) FROM c WHERE start + cut < length(body)),
+s AS (SELECT doc_id, seg, start, cut, max(seg) OVER (PARTITION BY doc_id) AS segments FROM c WHERE seg > 0 UNION ALL SELECT doc_id, 1, 0, length(body), 1 FROM u WHERE length(body) <= {_ROOM})
+SELECT doc_id, CAST(seg AS INTEGER) AS segment, CAST(segments AS INTEGER) AS segments, CAST(start AS INTEGER) AS start, CAST(cut AS INTEGER) AS length, false AS oversized FROM s""")
+def mail_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies cut by what is left of a record's limit beside its envelope."""
+    return packing.mail_segments(_plain(spark, sf_dir).withColumn("frame", F.lit(MAIL_FRAME)), "doc_id", "body", "frame", MAIL_LIMIT)
+
+
+# A table a nation, a row a customer; one of them has rows too long for any segment.
+TABLES_SQL = """r AS (SELECT c_nationkey AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn, strlen('| ' || c_name || ' | ' || c_custkey || ' |' || repeat('x', CASE WHEN c_nationkey = 7 THEN 900 ELSE 0 END)) + 1 AS size FROM customer)"""
+
+
+@query(f"""WITH RECURSIVE {TABLES_SQL}, f AS (SELECT 900 - 100 - strlen('| name | key |') - strlen('| --- | --- |') - 1 AS room),
+p AS (SELECT nation, rn, size AS held, 1 AS seg FROM r WHERE rn = 1
+ UNION ALL SELECT r.nation, r.rn, CASE WHEN p.held + r.size <= room + 1 - length(CAST(p.seg AS VARCHAR)) THEN p.held + r.size ELSE r.size END, CASE WHEN p.held + r.size <= room + 1 - length(CAST(p.seg AS VARCHAR)) THEN p.seg ELSE p.seg + 1 END
+ FROM p JOIN r ON r.nation = p.nation AND r.rn = p.rn + 1, f),
+k AS (SELECT nation, bool_and(size <= room + 1 - length(CAST(seg AS VARCHAR))) AS fits FROM p JOIN r USING (nation, rn), f GROUP BY nation)
+SELECT nation, CAST(seg AS INTEGER) AS segment, CAST(max(seg) OVER (PARTITION BY nation) AS INTEGER) AS segments, CAST(row_start AS INTEGER) AS row_start, CAST(row_end AS INTEGER) AS row_end, fits
+FROM (SELECT nation, fits, CASE WHEN fits THEN seg ELSE 1 END AS seg, min(rn) AS row_start, max(rn) AS row_end FROM p JOIN k USING (nation) GROUP BY 1, 2, 3)""")
+def word_table_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long tables cut between rows, with their header in each segment."""
+    row = F.concat(F.lit("| "), "c_name", F.lit(" | "), F.col("c_custkey").cast("string"), F.lit(" |"), F.when(F.col("c_nationkey") == 7, "x" * 900).otherwise(""))
+    rows = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("row")))).alias("r"))
+    lines = F.concat(F.array(F.lit("| name | key |"), F.lit("| --- | --- |")), F.transform("r", lambda x: x["row"]))
+    return packing.table_segments(rows.select("nation", lines.alias("lines"), F.lit(100).alias("frame")), "nation", "lines", "frame", 900)
+
+
 @query(None)
 def oversize_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounded Markdown segments with preferred breaks (bisection over renderings)."""
@@ -272,23 +288,13 @@ def oversize_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.segments(rows, "doc_id", "text", 3000, 1500, "name")
 
 
-@query("""WITH w AS (SELECT doc_id, substr(text, 1, 400) AS t FROM documents), f AS (SELECT doc_id, t, length(t) AS n,
-  CASE WHEN contains(t, chr(10) || chr(10)) THEN length(t) - instr(reverse(t), chr(10) || chr(10)) + 1 END AS a, CASE WHEN contains(t, chr(10)) THEN length(t) - instr(reverse(t), chr(10)) + 1 END AS b,
-  CASE WHEN contains(t, ' ') THEN length(t) - instr(reverse(t), ' ') + 1 END AS c FROM w)
-SELECT doc_id, CAST(CASE WHEN a >= n // 2 THEN a WHEN b >= n // 2 THEN b WHEN c >= n // 2 THEN c ELSE n END AS INTEGER) AS cut FROM f""")
-def preferred_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The break of each document's first window; ``preferred_breaks_whole`` cuts whole texts."""
-    window = F.substring("text", 1, 400)
-    return table(spark, sf_dir, "documents").select("doc_id", tx.preferred_break(window, F.length(window)).alias("cut"))
-
-
 @query("""WITH RECURSIVE p AS (SELECT doc_id, text, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS cut FROM documents
  UNION ALL SELECT doc_id, text, start, CASE WHEN a >= n // 2 THEN a WHEN b >= n // 2 THEN b WHEN c >= n // 2 THEN c ELSE n END FROM (SELECT doc_id, text, start, length(t) AS n,
   CASE WHEN contains(t, chr(10) || chr(10)) THEN length(t) - instr(reverse(t), chr(10) || chr(10)) + 1 END AS a, CASE WHEN contains(t, chr(10)) THEN length(t) - instr(reverse(t), chr(10)) + 1 END AS b,
   CASE WHEN contains(t, ' ') THEN length(t) - instr(reverse(t), ' ') + 1 END AS c
   FROM (SELECT doc_id, text, start + cut AS start, substr(text, start + cut + 1, 400) AS t FROM p WHERE start + cut < length(text))))
 SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(cut AS INTEGER) AS cut FROM p WHERE cut > 0""")
-def preferred_breaks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def preferred_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All breaks of whole texts, each window starting at the last cut."""
     return packing.breaks(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 400)
 

@@ -59,8 +59,8 @@ def best_delimiter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Files of suppliers: some with a header line, one headed by a number, one by a repeated name, one of a single line.
-HEADER_SQL = """WITH s AS (SELECT s_nationkey % 6 AS dataset, s_suppkey + 10 AS row_no, s_name AS a, CASE WHEN s_nationkey % 6 = 2 THEN s_name ELSE CAST(s_suppkey AS VARCHAR) END AS b FROM supplier WHERE s_nationkey % 6 <> 5),
-h AS (SELECT * FROM (VALUES (0, 'name', 'key'), (1, 'name', '12'), (2, 'Name', 'name'), (3, 'name', ''), (4, 'a', 'A'), (5, 'only', 'one')) v(dataset, a, b)),
+HEADER_SQL = """WITH s AS (SELECT s_nationkey % 6 AS dataset, s_suppkey + 10 AS row_no, s_name AS a, CASE WHEN s_nationkey % 6 = 2 THEN s_name ELSE CAST(s_suppkey AS VARCHAR) END AS b FROM supplier),
+h AS (SELECT * FROM (VALUES (0, 'name', 'key'), (1, 'name', '12'), (2, 'Name', 'name'), (3, 'name', ''), (4, 'a', 'A'), (5, 'b', 'c'), (6, 'only', 'one')) v(dataset, a, b)),
 u AS (SELECT dataset, row_no, a, b, false AS head FROM s UNION ALL SELECT dataset, 0, a, b, true FROM h)
 SELECT dataset, CASE WHEN count(*) < 2 THEN true WHEN dataset IN (1, 3) THEN false WHEN bool_or(NOT head AND regexp_matches(b, '^[0-9]+$')) THEN true ELSE max(CASE WHEN head THEN lower(a) END) <> max(CASE WHEN head THEN lower(b) END) END AS has_header,
  CASE WHEN count(*) < 2 THEN 'csv_header_detection_insufficient_rows_first_row_assumed' END AS warning FROM u GROUP BY dataset"""
@@ -69,8 +69,8 @@ SELECT dataset, CASE WHEN count(*) < 2 THEN true WHEN dataset IN (1, 3) THEN fal
 @query(HEADER_SQL)
 def header_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     group = F.col("s_nationkey") % 6
-    body = table(spark, sf_dir, "supplier").where(group != 5).select(group.alias("dataset"), (F.col("s_suppkey") + 10).alias("row_no"), F.concat("s_name", F.lit(";"), F.when(group == 2, F.col("s_name")).otherwise(F.col("s_suppkey").cast("string"))).alias("line"))
-    heads = ["name;key", "name;12", "Name;name", "name;", "a;A", "only;one"]
+    body = table(spark, sf_dir, "supplier").select(group.alias("dataset"), (F.col("s_suppkey") + 10).alias("row_no"), F.concat("s_name", F.lit(";"), F.when(group == 2, F.col("s_name")).otherwise(F.col("s_suppkey").cast("string"))).alias("line"))
+    heads = ["name;key", "name;12", "Name;name", "name;", "a;A", "b;c", "only;one"]
     first = spark.createDataFrame([(i, 0, h) for i, h in enumerate(heads)], "dataset int, row_no bigint, line string")
     return tabular.has_header(tabular.cells(first.union(body), ";"))
 
@@ -105,53 +105,32 @@ def typed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabular.typed_cells(_cells(spark, sf_dir)).select(F.col("row_no").alias("event_id"), "kind", "json")
 
 
-LATTICE_SQL = f"""WITH c AS (SELECT event_id, col_no, trim(raw) AS v FROM ({CELL_SQL}) WHERE (col_no = 0 AND event_id % 16 IN (4, 5, 9)) OR (col_no = 1 AND event_id % 16 IN (4, 9)) OR (col_no = 2 AND event_id % 16 IN (6, 7)) OR (col_no = 3 AND event_id % 16 IN (0, 4)) OR (col_no = 4 AND event_id % 16 = 9) OR (col_no = 5) OR (col_no = 6 AND event_id % 16 IN (0, 1))),
-k AS (SELECT col_no, {KIND_SQL} AS kind FROM c), g AS (SELECT col_no, count(*) AS rows, bool_or(kind = 'empty') AS nullable, list_sort(list(DISTINCT kind) FILTER (kind <> 'empty')) AS ks FROM k GROUP BY col_no)"""
 TYPE_SQL = """CASE WHEN ks IS NULL OR len(ks) = 0 THEN 'empty' WHEN ks = ['integer', 'number'] THEN 'number' WHEN ks = ['date', 'datetime'] THEN 'datetime' WHEN len(ks) = 1 THEN ks[1] WHEN list_contains(ks, 'string') THEN 'string' ELSE 'mixed' END"""
 
 
-def _lattice_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = {0: (4, 5, 9), 1: (4, 9), 2: (6, 7), 3: (0, 4), 4: (9,), 5: tuple(range(16)), 6: (0, 1)}
-    chosen = F.lit(False)
-    for col, ks in kinds.items():
-        chosen = chosen | ((F.col("col_no") == col) & (F.col("row_no") % 16).isin(*ks))
-    return _cells(spark, sf_dir).where(chosen)
-
-
-@query(LATTICE_SQL + f" SELECT col_no, {TYPE_SQL} AS inferred_type, nullable, rows FROM g")
-def column_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tabular.column_types(tabular.typed_cells(_lattice_cells(spark, sf_dir))).select("col_no", "inferred_type", "nullable", "rows")
-
-
-@query(LATTICE_SQL + f""", t AS (SELECT col_no, {TYPE_SQL} AS ty FROM g), q AS (SELECT c.col_no, {KIND_SQL} AS kind FROM c)
-SELECT q.col_no, CASE WHEN ty = 'string' AND kind <> 'empty' THEN 'string' ELSE kind END AS kind, count(*) AS n FROM q JOIN t USING (col_no) GROUP BY ALL""")
-def demoted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tabular.demoted(tabular.typed_cells(_lattice_cells(spark, sf_dir))).groupBy("col_no", "kind").agg(F.count("*").alias("n"))
-
-
-# The same mixtures of kinds a column over all events: each takes its column's next value.
-WHOLE_KINDS = [(4, 5, 9), (4, 9), (6, 7), (0, 4), (9,), tuple(range(16)), (0, 1)]
-PICK_SQL = "CASE event_id % 7 " + " ".join(f"WHEN {col} THEN {list(ks)}[event_id // 7 % {len(ks)} + 1]" for col, ks in enumerate(WHOLE_KINDS)) + " END"
-LATTICE_WHOLE_SQL = f"""WITH c AS (SELECT event_id, col_no, trim(raw) AS v FROM ({CELL_SQL.replace("CASE event_id % 16", f"CASE {PICK_SQL}")})),
+# A mixture of kinds a column, over all events: each takes its column's next value.
+MIXTURES = [(4, 5, 9), (4, 9), (6, 7), (0, 4), (9,), tuple(range(16)), (0, 1)]
+PICK_SQL = "CASE event_id % 7 " + " ".join(f"WHEN {col} THEN {list(ks)}[event_id // 7 % {len(ks)} + 1]" for col, ks in enumerate(MIXTURES)) + " END"
+LATTICE_SQL = f"""WITH c AS (SELECT event_id, col_no, trim(raw) AS v FROM ({CELL_SQL.replace("CASE event_id % 16", f"CASE {PICK_SQL}")})),
 k AS (SELECT col_no, {KIND_SQL} AS kind FROM c), g AS (SELECT col_no, count(*) AS rows, bool_or(kind = 'empty') AS nullable, list_sort(list(DISTINCT kind) FILTER (kind <> 'empty')) AS ks FROM k GROUP BY col_no)"""
 
 
-def _whole_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _mixed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, pick = F.col("event_id"), F.lit(None)
-    for col, ks in enumerate(WHOLE_KINDS):
+    for col, ks in enumerate(MIXTURES):
         pick = F.when(i % 7 == col, F.element_at(F.array(*map(F.lit, ks)), (F.floor(i / 7) % len(ks) + 1).cast("int"))).otherwise(pick)
     return _cells(spark, sf_dir, pick)
 
 
-@query(LATTICE_WHOLE_SQL + f" SELECT col_no, {TYPE_SQL} AS inferred_type, nullable, rows FROM g")
-def column_lattice_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tabular.column_types(tabular.typed_cells(_whole_cells(spark, sf_dir))).select("col_no", "inferred_type", "nullable", "rows")
+@query(LATTICE_SQL + f" SELECT col_no, {TYPE_SQL} AS inferred_type, nullable, rows FROM g")
+def column_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tabular.column_types(tabular.typed_cells(_mixed_cells(spark, sf_dir))).select("col_no", "inferred_type", "nullable", "rows")
 
 
-@query(LATTICE_WHOLE_SQL + f""", t AS (SELECT col_no, {TYPE_SQL} AS ty FROM g), q AS (SELECT c.col_no, {KIND_SQL} AS kind FROM c)
+@query(LATTICE_SQL + f""", t AS (SELECT col_no, {TYPE_SQL} AS ty FROM g), q AS (SELECT c.col_no, {KIND_SQL} AS kind FROM c)
 SELECT q.col_no, CASE WHEN ty = 'string' AND kind <> 'empty' THEN 'string' ELSE kind END AS kind, count(*) AS n FROM q JOIN t USING (col_no) GROUP BY ALL""")
-def demoted_cells_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tabular.demoted(tabular.typed_cells(_whole_cells(spark, sf_dir))).groupBy("col_no", "kind").agg(F.count("*").alias("n"))
+def demoted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tabular.demoted(tabular.typed_cells(_mixed_cells(spark, sf_dir))).groupBy("col_no", "kind").agg(F.count("*").alias("n"))
 
 
 @query("""WITH h AS (SELECT CAST(p_size AS BIGINT) AS dataset, p_partkey AS col_no, CASE p_partkey % 5 WHEN 0 THEN p_brand WHEN 1 THEN 'Código é ' || (p_partkey % 3) WHEN 2 THEN '' ELSE p_type END AS source_name FROM part),
@@ -207,28 +186,21 @@ def formula_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inside.groupBy(F.col("dataset").alias("sheet"), "segment").agg(F.count("*").alias("formulas"), F.sum("l_linenumber").cast("bigint").alias("total"))
 
 
-@query("""SELECT o_custkey % 100 AS sheet, count(*) AS formulas, count(*) FILTER (o_totalprice < 100000) AS without_cache FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL""")
+@query("""SELECT o_custkey % 100 AS sheet, count(*) AS formulas, count(*) FILTER (o_totalprice < 100000) AS without_cache FROM orders GROUP BY ALL""")
 def cached_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formula cells with the cached value of the same place (the zip of two loads as an equi-join)."""
-    return _cached(table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 3 == 0))
-
-
-@query("""SELECT o_custkey % 100 AS sheet, count(*) AS formulas, count(*) FILTER (o_totalprice < 100000) AS without_cache FROM orders GROUP BY ALL""")
-def cached_values_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with all orders as formula cells."""
-    return _cached(table(spark, sf_dir, "orders"))
-
-
-def _cached(orders: DataFrame) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
     formulas = orders.select((F.col("o_custkey") % 100).alias("sheet"), F.col("o_orderkey").alias("row_no"))
     cached = orders.where("o_totalprice >= 100000").select((F.col("o_custkey") % 100).alias("sheet"), F.col("o_orderkey").alias("row_no"), F.col("o_totalprice").alias("value"))
     return formulas.join(cached, ["sheet", "row_no"], "left").groupBy("sheet").agg(F.count("*").alias("formulas"), F.count_if(F.col("value").isNull()).alias("without_cache"))
 
 
-@query("SELECT l_suppkey AS sheet, min(l_orderkey) AS first_row, max(l_orderkey) AS last_row, min(l_linenumber) AS first_col, max(l_linenumber) AS last_col, count(*) AS filled FROM lineitem WHERE l_discount > 0 GROUP BY l_suppkey")
+@query("""SELECT l_suppkey AS sheet, min(l_orderkey) FILTER (l_discount > 0) AS first_row, max(l_orderkey) FILTER (l_discount > 0) AS last_row, min(l_linenumber) FILTER (l_discount > 0) AS first_col, max(l_linenumber) FILTER (l_discount > 0) AS last_col,
+ count(*) FILTER (l_discount > 0) AS filled, count(*) AS cells FROM lineitem GROUP BY l_suppkey""")
 def used_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = table(spark, sf_dir, "lineitem").where("l_discount > 0")
-    return cells.groupBy(F.col("l_suppkey").alias("sheet")).agg(F.min("l_orderkey").alias("first_row"), F.max("l_orderkey").alias("last_row"), F.min("l_linenumber").alias("first_col"), F.max("l_linenumber").alias("last_col"), F.count("*").alias("filled"))
+    """The range of a sheet's filled cells, among all its cells."""
+    cells = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sheet"), F.col("l_orderkey").alias("row_no"), F.col("l_linenumber").alias("col_no"), (F.col("l_discount") > 0).alias("filled"))
+    return tabular.used_range(cells, "sheet")
 
 
 # -- reports ----------------------------------------------------------------------------

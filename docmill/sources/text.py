@@ -64,7 +64,7 @@ def read(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     opened = files.withColumn("d", decoded(F.col("content"))).drop("content")
     ready = opened.withColumn("text", cleaned(F.col("d.content"))).withColumn("markdown", F.lower("file_name").rlike(r"\.(md|markdown)$"))
     lined = structure.with_lines(ready)
-    plain = lined.where("not markdown").withColumn("headings", structure.headings(F.col("lines")))
+    plain = structure.with_headings(ready.where("not markdown"))
     marked = lined.where("markdown").withColumn("headings", markdown_outline("text"))
     kind = "array<struct<level:int,text:string,line_number:int>>"
     both = plain.withColumn("headings", F.col("headings").cast(kind)).unionByName(marked.withColumn("headings", F.col("headings").cast(kind)))

@@ -10,20 +10,20 @@ M = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="
 R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
 MBOX = b"""From a@x Tue Aug  4 12:00:00 2026
-From: =?utf-8?q?Jos=C3=A9?= <jose@example.invalid>
-To: Liga <liga@example.invalid>
-Cc: "O'Neil" <o@example.invalid>
-Subject: =?utf-8?q?Ol=C3=A1?=
-Date: Tue, 04 Aug 2026 12:00:00 -0300
-Message-ID: <m1@example.invalid>
-X-Gmail-Labels: Caixa,"Projeto, IA"
+From: =?utf-8?q?Nils_=C3=98sterg=C3=A5rd?= <nils@fjord.test>
+To: Harbour crew <crew@fjord.test>
+Cc: "D'Arcy" <darcy@fjord.test>
+Subject: =?utf-8?q?S=C3=B8_og_vind?=
+Date: Fri, 09 May 2031 06:15:00 +0200
+Message-ID: <tide-7@fjord.test>
+X-Gmail-Labels: Boats,"Nets, ropes"
 Content-Type: text/plain; charset=utf-8
 Content-Transfer-Encoding: quoted-printable
 
-Corpo=C2=A0um=E2=80=8B.
+Low=C2=A0tide=E2=80=8B.
 From here it is a new message by the rule
 From b@x Tue Aug  4 13:00:00 2026
-From: b@example.invalid
+From: pier@fjord.test
 Subject: two
 Date: nonsense
 MIME-Version: 1.0

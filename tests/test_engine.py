@@ -7,8 +7,8 @@ import fixtures
 import pytest
 from pyspark.sql import functions as F
 
-from docmill import engine
-from docmill.operators import packing
+from docmill import cli, engine
+from docmill.operators import blocks, packing
 from docmill.sinks import parts
 from docmill.streaming import landing
 
@@ -28,10 +28,10 @@ def run(spark, path, out, **settings):
 def test_mailbox(spark, tmp_path, profile):
     (tmp_path / "a.mbox").write_bytes(fixtures.MBOX)
     report, files = run(spark, tmp_path / "a.mbox", tmp_path / "out", profile=profile)
-    assert report["counts"] == {"messages": 3, "converted": 3, "failed": 0, "segmented": 0, "attachments": 1} and report["result"] == "success"
+    assert report["counts"] == {"messages": 3, "converted": 3, "failed": 0, "segmented": 0, "oversized": 0, "attachments": 1} and report["result"] == "success"
     (body,) = files.values()
     records = json.loads(body) if profile == "platform" else [json.loads(x) for x in body.splitlines()]
-    assert [r["subject"] for r in records] == ["Olá", None, "two"] and "message_id" not in records[0] and records[2]["attachments"] == [{"file_name": "a.pdf", "media_type": "application/pdf"}]
+    assert [r["subject"] for r in records] == ["Sø og vind", None, "two"] and "message_id" not in records[0] and records[2]["attachments"] == [{"file_name": "a.pdf", "media_type": "application/pdf"}]
     with pytest.raises(FileExistsError):
         engine.convert(spark, str(tmp_path / "a.mbox"), str(tmp_path / "out"))
 
@@ -40,12 +40,31 @@ def test_oversized_messages_are_cut(spark, tmp_path):
     (tmp_path / "a.mbox").write_bytes(b"From x\nFrom: a@b.c\nSubject: s\nMessage-ID: <1@x>\n\n" + b"line of text\n" * 300)
     report, files = run(spark, tmp_path / "a.mbox", tmp_path / "out", max_mib=1500 / (1 << 20), max_tokens=750, profile="api")
     records = [json.loads(x) for name in sorted(files) for x in files[name].splitlines()]
-    assert report["counts"]["segmented"] == 1 and report["result"] == "success_with_warnings" and len(records) > 1
+    assert report["counts"]["segmented"] == 1 and report["warnings"] == ["oversized_message_segmented"] and report["result"] == "success_with_warnings" and len(records) > 1
     assert "".join(r["body"] for r in records) == "line of text\n" * 300
     assert [r["segment"] for r in records] == [f"{i}/{len(records)}" for i in range(1, len(records) + 1)]
     assert all(len(t.encode()) <= 1500 for t in files.values())
 
 
+def test_messages_that_no_cut_helps_are_flagged(spark, tmp_path):
+    (tmp_path / "a.mbox").write_bytes(b"From x\nFrom: a@b.c\nSubject: " + b"s" * 3000 + b"\nMessage-ID: <1@x>\n\nbody\n")
+    report, _ = run(spark, tmp_path / "a.mbox", tmp_path / "out", max_mib=1500 / (1 << 20), max_tokens=750, profile="api")
+    assert report["counts"]["oversized"] == 1 and report["counts"]["segmented"] == 0 and "record_exceeds_partition_limits" in report["warnings"] and report["result"] == "success_with_warnings"
+
+
+def test_every_error_is_reported(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.mbox").write_bytes(b"".join(b"From x\nMessage-ID: <%d@x>\nContent-Type: text/plain; charset=a\0b\n\nb\n" % i for i in range(1100)) + b"From x\nSubject: ok\n\nb\n")
+    report = engine.convert(spark, str(tmp_path / "a.mbox"), str(tmp_path / "out"))
+    assert len(report["errors"]) == report["counts"]["failed"] == 1100
+    monkeypatch.setattr(cli, "convert", lambda *a, **k: report)
+    assert cli.main([str(tmp_path / "a.mbox"), "--output", str(tmp_path / "other")]) == 2
+
+
+def test_outlines_of_any_depth(spark):
+    nodes = spark.createDataFrame([("a", i, i - 1 if i > 1 else None) for i in range(1, 41)] + [("a", 99, 98)], "doc string, node int, parent int")
+    assert {r.node: r.depth for r in blocks.outline_depths(nodes).collect()} == {i: i for i in range(1, 41)}
+
+
 def test_tables_texts_and_documents(spark, tmp_path):
     (tmp_path / "t.csv").write_text("id;nome\n001;Ana\n002;Bia\n")
     report, files = run(spark, tmp_path / "t.csv", tmp_path / "o1")

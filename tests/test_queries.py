@@ -57,7 +57,7 @@ def test_segments_fit_and_cover(spark):
 def test_breaks_use_whole_texts_up(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     by = {}
-    for r in catalog.QUERIES["preferred_breaks_whole"](spark, FOLDER).collect():
+    for r in catalog.QUERIES["preferred_breaks"](spark, FOLDER).collect():
         by.setdefault(r.doc_id, []).append((r.start, r.cut))
     assert any(len(t) > 400 for t in texts.values())
     for k, text in texts.items():
@@ -71,13 +71,13 @@ def test_breaks_use_whole_texts_up(spark):
 def test_cells_and_formulas_of_all_rows(spark):
     total = lambda name, column: sum(r[column] for r in catalog.QUERIES[name](spark, FOLDER).collect())
     events, orders = (spark.read.parquet(f"{FOLDER}/{t}.parquet").count() for t in ("events", "orders"))
-    assert total("column_lattice_whole", "rows") == total("demoted_cells_whole", "n") == events
-    assert total("cached_values_whole", "formulas") == orders
+    assert total("column_lattice", "rows") == total("demoted_cells", "n") == events
+    assert total("cached_values", "formulas") == orders
 
 
 def test_structure_of_whole_texts(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id % 6 = 4").collect()}
     ends = {}
-    for r in catalog.QUERIES["text_sections_whole"](spark, FOLDER).where("doc_id % 6 = 4").collect():
+    for r in catalog.QUERIES["text_sections"](spark, FOLDER).where("doc_id % 6 = 4").collect():
         ends[r.doc_id] = max(ends.get(r.doc_id, 0), r.end_line)
     assert docs and ends == {k: 3 + len((t.removesuffix("\n") if t else "").split("\n")) if t else 3 for k, t in docs.items()}

@@ -5,7 +5,6 @@ from pathlib import Path
 import fixtures
 import pytest
 
-from docmill.functions.decoding import decode
 from docmill.sources import csv, docx, mbox, pdf, text, xlsx
 
 
@@ -15,9 +14,9 @@ def test_mailbox_whatever_the_ranges(spark, tmp_path, split):
     rows = mbox.read(spark, str(tmp_path / "a.mbox"), include_html=True, split=split).orderBy("offset").collect()
     assert len(rows) == 3 and all(r.error is None for r in rows)
     one, cut, two = (r.data for r in rows)
-    assert one.message_id == "<m1@example.invalid>" and one.subject == "Olá" and one.date == "2026-08-04T12:00:00-03:00" and one.gmail_labels == ["Caixa", "Projeto, IA"]
-    assert one["from"][0].asDict() == {"name": "José", "email": "jose@example.invalid"} and one.cc[0].name == "O'Neil"
-    assert one.body_text == "Corpo um.\n"
+    assert one.message_id == "<tide-7@fjord.test>" and one.subject == "Sø og vind" and one.date == "2031-05-09T06:15:00+02:00" and one.gmail_labels == ["Boats", "Nets, ropes"]
+    assert one["from"][0].asDict() == {"name": "Nils Østergård", "email": "nils@fjord.test"} and one.cc[0].name == "D'Arcy"
+    assert one.body_text == "Low tide.\n"
     assert cut.message_id.startswith("generated:") and two.message_id.startswith("generated:")
     assert two.body_text == "Rich text" and two.attachments[0].asDict() == {"file_name": "a.pdf", "media_type": "application/pdf", "size_bytes": 6, "content_extracted": False}
     assert rows[2].processing.warnings == ["date_unparseable", "message_id_generated"]
@@ -25,22 +24,22 @@ def test_mailbox_whatever_the_ranges(spark, tmp_path, split):
 
 
 def test_delimited_files(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("ID;Cliente;Receita;Ativo;Data\n001;Empresa Exemplo;1250,5;sim;2026-08-01\n;;;;\n002;Outra​;3;não\n003;X;4,5;true;2026-08-02\n")
+    (tmp_path / "a.csv").write_text("Berth;Ship;Depth;Moored;Since\n007;Sea Lark;12,5;sim;2031-05-01\n;;;;\n008;Gull\u200b;3;não\n009;Tern;4,5;true;2031-05-02\n")
     (tmp_path / "b.csv").write_text("1;10\n2;20\n3;30\n")
-    (tmp_path / "c.csv").write_text("Filme,Ano\nFilme A,1990\n1922,2017\n46,2013\nNo,2012\n")
-    (tmp_path / "d.csv").write_text("Só,título\n")
+    (tmp_path / "c.csv").write_text("Lock,Opened\nUpper,1871\n44,1902\n45,1903\nNew,1950\n")
+    (tmp_path / "d.csv").write_text("Only,heads\n")
     r = csv.read(spark, str(tmp_path), per_segment=2)
     files = {f.dataset: f for f in r["files"].collect()}
     assert (files["a.csv"].delimiter, files["a.csv"].has_header, files["a.csv"].ragged_rows, files["a.csv"].blank_rows_skipped, files["a.csv"].total_rows) == (";", True, 1, 1, 3)
     assert not files["b.csv"].has_header and files["d.csv"].total_rows == 0
     columns = {(c.dataset, c["index"]): c for c in r["columns"].collect()}
-    assert [columns["a.csv", i].name for i in range(1, 6)] == ["id", "cliente", "receita", "ativo", "data"]
+    assert [columns["a.csv", i].name for i in range(1, 6)] == ["berth", "ship", "depth", "moored", "since"]
     assert [columns["a.csv", i].inferred_type for i in range(1, 6)] == ["string", "string", "number", "boolean", "date"]
     assert columns["b.csv", 2].name == "coluna_2" and columns["c.csv", 1].inferred_type == "string" and columns["c.csv", 2].inferred_type == "integer"
     segments = {(s.dataset, s.segment): s for s in r["segments"].collect()}
-    assert segments["a.csv", 1].rows == ['["001","Empresa Exemplo",1250.5,true,"2026-08-01"]', '["002","Outra",3,false,null]']
+    assert segments["a.csv", 1].rows == ['["007","Sea Lark",12.5,true,"2031-05-01"]', '["008","Gull",3,false,null]']
     assert (segments["a.csv", 2].row_start, segments["a.csv", 2].row_end, segments["a.csv", 2].total_rows) == (3, 3, 3)
-    assert segments["c.csv", 1].rows[1] == '["1922",2017]' and segments["d.csv", 1].row_start is None and segments["d.csv", 1].rows == []
+    assert segments["c.csv", 1].rows[1] == '["44",1902]' and segments["d.csv", 1].row_start is None and segments["d.csv", 1].rows == []
 
 
 def test_text_and_markdown(spark, tmp_path):
@@ -53,10 +52,6 @@ def test_text_and_markdown(spark, tmp_path):
     assert rows["w.txt"].data.encoding == "cp1252" and rows["w.txt"].data.content.startswith("Descrição é ação")
 
 
-def test_byte_order_marks():
-    assert decode(b"\xef\xbb\xbfa") == ("a", "utf-8", []) and decode("é".encode("utf-16"))[:2] == ("é", "utf-16") and decode("é".encode("utf-32"))[1] == "utf-32" and decode(b"")[0] == ""
-
-
 def test_workbook(spark, tmp_path):
     fixtures.workbook(str(tmp_path / "v.xlsx"))
     (tmp_path / "bad.xlsx").write_text("nope")

@@ -7,8 +7,11 @@ that may need them.
 
 from __future__ import annotations
 
+import functools
 import html
+import operator
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,18 +46,26 @@ def unaccented(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a column that it names several times and that is worked out once."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def cleaned(c: Column) -> Column:
     """One ``translate`` replaces, repairs and removes; normalisation follows.
 
     Characters before U+0300 are normal whatever their neighbours, so only texts with others are sent to be normalised.
     """
     plain = F.translate(c, FROM, TO)
-    return F.coalesce(nfc(F.when(plain.rlike(r"[^\x{0}-\x{2ff}]"), plain)), plain)
+    return F.coalesce(nfc(bound(plain, lambda p: F.when(p.rlike(r"[^\x{0}-\x{2ff}]"), p))), plain)
 
 
 def occurrences(c: Column, characters: str) -> Column:
-    """How many of the characters a text holds."""
-    return F.length(c) - F.length(F.translate(c, characters, ""))
+    """How many of the characters a text holds; a few are quicker looked for one by one."""
+    if len(characters) > 4:
+        return F.length(c) - F.length(F.translate(c, characters, ""))
+    each = [((F.octet_length(c) - F.octet_length(F.replace(c, F.lit(x), F.lit("")))) / len(x.encode())).cast("int") for x in characters]
+    return functools.reduce(operator.add, each)
 
 
 def rules() -> dict[str, str]:
@@ -68,18 +79,24 @@ def rules() -> dict[str, str]:
 def rule_report(df: DataFrame, text: str) -> DataFrame:
     """``(rule, changes)`` over all texts, rules without a change left out.
 
-    One pass, without a row a character: a rule's characters are counted by what
-    their removal takes from a text's length, and rules of single characters only in
-    the texts that hold any of their kind.
+    One pass, without a row a character: rules of single characters are counted only
+    in the texts that hold any of their kind.  The counts of a text are one array, made
+    by a function of the text, which is thus worked out once.
     """
-    t, sums = F.col(text), []
+    named = list(rules().items())
     kinds = {"removed_": INVISIBLE, "control_": CONTROLS}
-    for name, characters in rules().items():
-        kind = next((k for start, k in kinds.items() if name.startswith(start)), None)
-        n = occurrences(t, characters)
-        sums.append((name, F.sum(n if kind is None else F.when(occurrences(t, kind) > 0, n)).cast("bigint")))
-    found = df.agg(F.array(*[F.struct(F.lit(name).alias("rule"), n.alias("changes")) for name, n in sums]).alias("r"))
-    return found.select(F.inline("r")).where("changes > 0")
+    alone = [(name, c) for name, c in named if not name.startswith(tuple(kinds))]
+    groups = [[(name, c) for name, c in named if name.startswith(start)] for start in kinds]
+    none = lambda group: F.array_repeat(F.lit(0), len(group))
+    counts = lambda t, group: F.array(*[occurrences(t, c) for _, c in group])
+
+    def of(t: Column) -> Column:
+        return F.concat(counts(t, alone), *[F.when(occurrences(t, "".join(c for _, c in g)) > 0, counts(t, g)).otherwise(none(g)) for g in groups])
+
+    each = df.select(bound(F.coalesce(F.col(text), F.lit("")), of).alias("n"))
+    order = [name for group in (alone, *groups) for name, _ in group]
+    sums = [F.struct(F.lit(name).alias("rule"), F.coalesce(F.sum(F.get("n", F.lit(i))), F.lit(0)).cast("bigint").alias("changes")) for i, name in enumerate(order)]
+    return each.agg(F.array(*sums).alias("r")).select(F.inline("r")).where("changes > 0")
 
 
 def stripped(c: Column) -> Column:

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import signal
 import sys
+import threading
 from datetime import datetime
 
+from docmill.cancellation import Cancellation
 from docmill.engine import Settings, convert
+from docmill.sinks.parts import fresh_folder
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -22,15 +26,19 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.appName("docmill").getOrCreate()
-    name = a.source.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-    out = a.output or f"{a.source.rsplit('/', 1)[0]}/{name}__{datetime.now():%Y%m%d_%H%M%S}"
+    out = a.output or fresh_folder(spark, a.source, a.source.rsplit("/", 1)[0] if "/" in a.source else ".", datetime.now())
+    stop = Cancellation(spark)
+    before = signal.signal(signal.SIGINT, lambda *_: stop.cancel()) if threading.current_thread() is threading.main_thread() else None
     try:
-        report = convert(spark, a.source, out, Settings(a.max_mib, a.max_tokens, a.profile, a.include_html), lambda stage: print(stage, file=sys.stderr))
-    except KeyboardInterrupt:
-        return 130
+        report = convert(spark, a.source, out, Settings(a.max_mib, a.max_tokens, a.profile, a.include_html), lambda stage: print(stage, file=sys.stderr), stop)
     except Exception as e:
         print(f"{type(e).__name__}: {e}", file=sys.stderr)
         return 1
+    finally:
+        if before is not None:
+            signal.signal(signal.SIGINT, before)
+    if report["result"] == "cancelled":
+        return 130
     print(f"{report['result']}: {out}")
     return 2 if report["result"] == "failure" or report["counts"].get("failed") else 0
 

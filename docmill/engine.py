@@ -10,6 +10,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.cancellation import Cancellation
 from docmill.functions.formats import FORMATS
 from docmill.functions.text import rule_report
 from docmill.operators import blocks, email, packing, structure
@@ -17,8 +18,9 @@ from docmill.operators.reports import catalogue
 from docmill.plans.shipping import ship
 from docmill.plans.storage import written
 from docmill.sinks import parts as sink
+from docmill.sources.reports import REPORT, conversions_of
 
-REPORT, README, READY = "relatorio_conversao.json", "LEIA-ME.txt", "PRONTO_PARA_IA"  # fixed values
+README, READY = "LEIA-ME.txt", "PRONTO_PARA_IA"  # fixed values
 SEGMENTED, TOO_LARGE = "oversized_message_segmented", "record_exceeds_partition_limits"  # fixed values
 
 
@@ -75,8 +77,15 @@ def resolve(path: str) -> str:
     return SUFFIXES[suffix]
 
 
-def convert(spark: SparkSession, path: str, out: str, settings: Settings | None = None, progress: Callable[[str], None] | None = None) -> dict:
-    """Convert a file into ``out`` (which must be empty or new); returns the report that is also written."""
+def convert(
+    spark: SparkSession, path: str, out: str, settings: Settings | None = None, progress: Callable[[str], None] | None = None, cancellation: Cancellation | None = None
+) -> dict:
+    """Convert a file into ``out`` (which must be empty or new); returns the report that is also written.
+
+    The report names earlier conversions of the same file beside ``out``.  A
+    conversion that is cancelled keeps the parts that are complete, and says so in
+    its report.
+    """
     settings = settings or Settings()
     kind = resolve(path)
     ship(spark)
@@ -84,12 +93,25 @@ def convert(spark: SparkSession, path: str, out: str, settings: Settings | None
     started = datetime.now(UTC)
     ready = sink.prepare(out, READY)
     tell("converting")
-    found = CONVERTERS[kind](spark, path, ready, settings)
+    try:
+        if cancellation:
+            cancellation.enter()
+            cancellation.check()
+        found = CONVERTERS[kind](spark, path, ready, settings)
+    except Exception:
+        if not (cancellation and cancellation.asked):
+            raise
+        found = {"result": "cancelled", "size_bytes": sink.size_of(path), "counts": {}, "warnings": [], "cleaning": {}, "parts": [{"file": n, "size_bytes": size} for n, size in sink.listed(ready)], "errors": []}
+    finally:
+        if cancellation:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     finished = datetime.now(UTC)
+    name = path.rsplit("/", 1)[-1]
     report = {
         "conversion_id": uuid.uuid4().hex, "record_type": kind, "result": found["result"], "started_at": started.isoformat(), "finished_at": finished.isoformat(),
-        "duration_seconds": max(0.0, round((finished - started).total_seconds(), 2)), "sources": [{"file_name": path.rsplit("/", 1)[-1], "size_bytes": found["size_bytes"]}],
+        "duration_seconds": max(0.0, round((finished - started).total_seconds(), 2)), "sources": [{"file_name": name, "size_bytes": found["size_bytes"]}],
         "limits": {"max_bytes": settings.max_bytes, "max_tokens": settings.max_tokens}, "counts": found["counts"], "warnings": found["warnings"], "cleaning": found["cleaning"], "parts": found["parts"], "errors": found["errors"],
+        "possible_duplicates": conversions_of(spark, out.rstrip("/").rsplit("/", 1)[0], name, found["size_bytes"]),
     }
     sink.write_json(f"{out}/{REPORT}", report)
     sink.write_text(f"{out}/{README}", readme(report))
@@ -100,7 +122,7 @@ def convert(spark: SparkSession, path: str, out: str, settings: Settings | None
 def readme(report: dict) -> str:
     """What was made, for people."""
     lines = [f"Fonte: {report['sources'][0]['file_name']}", f"Resultado: {report['result']}", f"Partes em {READY}: {len(report['parts'])}"]
-    lines += [f"- {p['file']}: {p['size_bytes']} bytes, {p['estimated_tokens']} tokens estimados" for p in report["parts"]]
+    lines += [f"- {p['file']}: {p['size_bytes']} bytes" + (f", {p['estimated_tokens']} tokens estimados" if "estimated_tokens" in p else "") for p in report["parts"]]
     return "\n".join([*lines, *(f"Aviso: {w}" for w in report["warnings"])]) + "\n"
 
 

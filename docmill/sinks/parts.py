@@ -7,16 +7,20 @@ renames all of them only when every task has succeeded.
 
 from __future__ import annotations
 
+import itertools
 import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyarrow import fs as arrow_fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from docmill.functions.text import slug
+
 
 def opened(uri: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
@@ -76,6 +80,26 @@ def prepare(folder: str, ready: str = "PRONTO_PARA_IA") -> str:
     return f"{folder}/{ready}"
 
 
+def fresh_folder(spark: SparkSession, source: str, root: str, started: datetime) -> str:
+    """A folder in ``root`` named after the file and the time; taken names are numbered from 2."""
+    stem = source.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    name = f"{spark.range(1).select(slug(F.lit(stem))).first()[0]}__{started:%Y%m%d_%H%M%S}"
+    fs, path = opened(root)
+    taken = {i.base_name for i in fs.get_file_info(arrow_fs.FileSelector(path, allow_not_found=True))}
+    return f"{root}/" + next(n for n in itertools.chain([name], (f"{name}__{i:02d}" for i in itertools.count(2))) if n not in taken)
+
+
+def listed(folder: str) -> list[tuple[str, int]]:
+    """Names and sizes of the complete files in a folder."""
+    fs, path = opened(folder)
+    return sorted((i.base_name, i.size) for i in fs.get_file_info(arrow_fs.FileSelector(path)) if i.type == arrow_fs.FileType.File and not i.base_name.startswith("."))
+
+
+def size_of(uri: str) -> int:
+    fs, path = opened(uri)
+    return fs.get_file_info(path).size
+
+
 def write(files: DataFrame, folder: str) -> None:
     """Write ``(file, content)`` rows."""
     files.sparkSession.dataSource.register(PartFiles)

@@ -2,12 +2,16 @@
 
 import json
 import random
+import threading
+from datetime import datetime
+from pathlib import Path
 
 import fixtures
 import pytest
 from pyspark.sql import functions as F
 
 from docmill import cli, engine
+from docmill.cancellation import Cancellation
 from docmill.operators import blocks, packing
 from docmill.sinks import parts
 from docmill.streaming import landing
@@ -60,6 +64,44 @@ def test_every_error_is_reported(spark, tmp_path, monkeypatch):
     assert cli.main([str(tmp_path / "a.mbox"), "--output", str(tmp_path / "other")]) == 2
 
 
+def test_earlier_conversions_and_folder_names(spark, tmp_path):
+    (tmp_path / "d.csv").write_text("a;b\n1;2\n")
+    first = engine.convert(spark, str(tmp_path / "d.csv"), str(tmp_path / "one"))
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "relatorio_conversao.json").write_text("{not json")
+    (tmp_path / "one" / "deep").mkdir()
+    (tmp_path / "one" / "deep" / "relatorio_conversao.json").write_text('{"sources": [{"file_name": "d.csv", "size_bytes": 8}]}')
+    again = engine.convert(spark, str(tmp_path / "d.csv"), str(tmp_path / "two"))
+    assert first["possible_duplicates"] == [] and again["possible_duplicates"] == ["one"]
+    assert engine.convert(spark, str(tmp_path / "d.csv"), str(tmp_path / "three"))["possible_duplicates"] == ["one", "two"]
+    at = datetime(2031, 5, 6, 7, 8, 9)
+    names = []
+    for _ in range(3):
+        names.append(parts.fresh_folder(spark, "/x/Über Größe (1).csv", str(tmp_path / "auto"), at))
+        Path(names[-1]).mkdir(parents=True)
+    assert [n.rsplit("/", 1)[-1] for n in names] == ["uber_groe_1__20310506_070809", "uber_groe_1__20310506_070809__02", "uber_groe_1__20310506_070809__03"]
+
+
+def test_cancelled_conversions_keep_complete_parts(spark, tmp_path, monkeypatch):
+    (tmp_path / "d.csv").write_text("a;b\n1;2\n")
+    stop = Cancellation(spark)
+
+    def slow(spark, path, ready, settings):
+        parts.write(spark.createDataFrame([("dados_parte_0001.json", "[]")], "file string, content string"), ready)
+        threading.Timer(1.0, stop.cancel).start()
+        spark.range(8, numPartitions=8).selectExpr("java_method('java.lang.Thread', 'sleep', 20000L)").collect()
+        raise AssertionError("not stopped")
+
+    monkeypatch.setitem(engine.CONVERTERS, "tabular_dataset", slow)
+    report = engine.convert(spark, str(tmp_path / "d.csv"), str(tmp_path / "out"), cancellation=stop)
+    assert report["result"] == "cancelled" and [p["file"] for p in report["parts"]] == ["dados_parte_0001.json"]
+    early = Cancellation(spark)
+    early.cancel()
+    assert engine.convert(spark, str(tmp_path / "d.csv"), str(tmp_path / "early"), cancellation=early)["parts"] == []
+    monkeypatch.setattr(cli, "convert", lambda *a, **k: report)
+    assert cli.main([str(tmp_path / "d.csv"), "--output", str(tmp_path / "x")]) == 130
+
+
 def test_outlines_of_any_depth(spark):
     nodes = spark.createDataFrame([("a", i, i - 1 if i > 1 else None) for i in range(1, 41)] + [("a", 99, 98)], "doc string, node int, parent int")
     assert {r.node: r.depth for r in blocks.outline_depths(nodes).collect()} == {i: i for i in range(1, 41)}

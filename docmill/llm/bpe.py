@@ -19,7 +19,6 @@ to ``REMEMBER`` chunks.  Pairs of tokens found to agree are remembered likewise.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import itertools
 import struct
@@ -29,7 +28,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from docmill.llm.runtime import map_texts
+from docmill.llm.runtime import kept, map_texts
 
 #: Bytes of a leaf, encoded by plain merging.
 LEAF = 8
@@ -156,10 +155,9 @@ class Encoder:
         return parts[0]
 
 
-@functools.lru_cache(maxsize=2)
 def encoder_of(path: str, pattern: str) -> Encoder:
     """The encoder of a Python worker: what it remembers serves the worker's next tasks too."""
-    return Encoder(path, pattern)
+    return kept((path, pattern), lambda: Encoder(path, pattern))
 
 
 def chunks_of(text: str) -> list[str]:
@@ -198,7 +196,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
         return lambda data: (None if data is None else np.frombuffer(encoder.encode(data.decode()), "<u4").astype(np.int32),)
 
     names = [c for c in docs.columns if c != to]
-    return map_texts(docs, start, f"{to} array<int>", names, text_col, [to])
+    return map_texts(docs, start, f"{to} array<int>", names, text_col, [to], (path, pattern))
 
 
 def detokenized(tokens: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", to: str = "text") -> DataFrame:
@@ -221,7 +219,8 @@ def detokenized(tokens: DataFrame, path: str, pattern: str, ids_col: str = "toke
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256, n_bytes)``: encode every whole text, then decode the ids.
 
-    Null counts as the empty text (no tokens).  Repeated rows give repeated rows.
+    Null counts as the empty text (no tokens).  Texts may be of any length; repeated
+    rows give repeated rows, an empty table none.
     """
 
     def start() -> Callable:
@@ -234,6 +233,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
         return both
 
-    return map_texts(docs, start, "n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_bytes bigint", [id_col], text_col, ["n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
+    return map_texts(docs, start, "n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_bytes bigint", [id_col], text_col, ["n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"], (path, pattern))
 
 

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docmill.llm.runtime import kept as worker_kept
 from docmill.llm.runtime import utf8, written
 
 WINDOW = 13
@@ -212,15 +213,9 @@ def groups_of(benchmark: DataFrame, item_col: str, text_col: str, limit: int, wi
         yield group
 
 
-_built: dict[str, Automaton] = {}
-
-
 def automaton_of(name: str, items: list[tuple[str, bytes]], window: int) -> Automaton:
-    """The automaton of a group of items; a Python worker keeps the last one for its next tasks."""
-    if name not in _built:
-        _built.clear()
-        _built[name] = Automaton([(i, words_of(t)) for i, (_, t) in enumerate(items)], window)
-    return _built[name]
+    """The automaton of a group of items, which a Python worker keeps for its next tasks."""
+    return worker_kept(name, lambda: Automaton([(i, words_of(t)) for i, (_, t) in enumerate(items)], window))
 
 
 def scan(docs: DataFrame, items: list[tuple[str, bytes]], id_col: str, text_col: str, window: int) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.runtime import map_texts, remainder, utf8
+from docmill.llm.runtime import map_texts, released, remainder, utf8
 
 PER_LANGUAGE, SAMPLE = 300, 12_000
 BUCKET_BITS = 16
@@ -148,6 +148,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], rounds: int = 80, decay:
 
 def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column's texts as their buckets (16 bits each) and counts."""
+    released()
     for batch in batches:
         found = [gram_counts(x.as_py()) for x in batch.column(batch.num_columns - 1)]
         made = [pa.array([c[i].astype(t).tobytes() for c in found], pa.binary()) for i, t in enumerate((np.uint16, np.uint32))]

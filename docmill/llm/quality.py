@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.runtime import map_texts, remainder, utf8
+from docmill.llm.runtime import map_texts, released, remainder, utf8
 from docmill.llm.toxicity import labelled_sample
 
 SAMPLE = 4000
@@ -194,6 +194,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         words = frozenset(t for t in model.terms if t[:1] not in (b"~", b"="))
         shapes: dict = {}
         for batch in batches:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,12 +12,30 @@ from pyspark.sql import functions as F
 
 from docmill.plans.storage import scratch, shared_dir, written
 
-__all__ = ["documents", "fresh_path", "looked_up", "map_texts", "remainder", "scratch", "shared_dir", "table", "utf8", "written"]
+__all__ = ["documents", "fresh_path", "kept", "looked_up", "map_texts", "released", "remainder", "scratch", "shared_dir", "table", "utf8", "written"]
 
+T = TypeVar("T")
 #: Keys at most that :func:`looked_up` broadcasts: those with at least one in so many rows.
 HOT = 512
 
 
+_kept: dict[object, object] = {}
+
+
+def kept(name: object, make: Callable[[], T]) -> T:
+    """The one large object that a Python worker keeps for its next tasks; another name's takes its place."""
+    released(name)
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def released(but: object = None) -> None:
+    """Free what the worker keeps for tasks of another kind."""
+    if but not in _kept:
+        _kept.clear()
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/docmill/{label}-{uuid.uuid4().hex}"
 
@@ -73,13 +92,14 @@ def map_texts(
     keep: Iterable[str],
     text: str,
     names: list[str],
+    keeps: object = None,
 ) -> DataFrame:
     """Apply a function to every whole text, carrying the ``keep`` columns along.
 
     ``per_text`` is called once a task and returns the function, so that models
     are unpacked where they are used.  ``fields`` is the DDL of the columns that
     the function's tuple fills, called ``names``; kept columns of these names
-    are replaced.
+    are replaced.  ``keeps`` is the name of what the function's model is :func:`kept` as.
     """
     made_ = {n.lower() for n in names}
     keep = [c for c in keep if c.lower() not in made_]
@@ -87,6 +107,7 @@ def map_texts(
     types = _arrow_types(df.sparkSession, fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released(keeps)
         score = per_text()
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)

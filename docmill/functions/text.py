@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import functools
 import html
+import html.entities
 import operator
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -150,11 +152,26 @@ def unescaped(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else html.unescape(html.unescape(x)))
 
 
-def html_text(c: Column | str) -> Column:
+#: An entity with its semicolon.
+TERMINATED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
+
+
+def _whole_entities(x: str) -> str:
+    return TERMINATED.sub(lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html.entities.html5 else m[0], x)
+
+
+@F.pandas_udf(StringType())
+def unescaped_terminated(s: pd.Series) -> pd.Series:
+    """Entities that end in a semicolon decoded twice."""
+    return s.map(lambda x: x if x is None else _whole_entities(_whole_entities(x)))
+
+
+def html_text(c: Column | str, terminated: bool = False) -> Column:
     """Text of a page: block tags are line breaks, other tags nothing; entities are decoded twice, those in scripts once.
 
     The page is cut into tags and texts, each of which is turned into what it
-    leaves; only pages with entities leave the JVM.
+    leaves; only pages with entities leave the JVM.  Entities without their semicolon are decoded as
+    well, as HTML has it, unless only ``terminated`` ones are to be.
     """
     page = F.col(c) if isinstance(c, str) else c
 
@@ -166,7 +183,8 @@ def html_text(c: Column | str) -> Column:
         return F.when(F.startswith(part, F.lit("<")), tag).otherwise(part)
 
     text = F.array_join(F.transform(F.regexp_extract_all(page, F.lit(MARKUP), F.lit(0)), left), "")
-    text = F.coalesce(unescaped(F.when(F.contains(text, F.lit("&")), text)), text)
+    decoded = unescaped_terminated if terminated else unescaped
+    text = F.coalesce(decoded(F.when(F.contains(text, F.lit("&")), text)), text)
     narrow = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"(?U)\n\s*\n\s*\n+", "\n\n")
     return F.when(page.isNotNull(), stripped(narrow))
 

@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from docmill.functions import text as tx
 from docmill.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
@@ -41,6 +42,17 @@ def test_query(spark, duck, name):
     assert got == sorted(repr(tuple(plain(r[i]) for i in at)) for r in twin.fetchall())
 
 
+def test_entities_without_semicolon(spark, tmp_path):
+    pages = ["<title>a&amp;&amp</title><style>p{x}</style><p>b", "<title>a&am</title><style>p{x}</style><p>&copy;&lt;", "a &amp b &quot;c&quot; &lt &nosuch; &amp;"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id bigint, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = catalog.QUERIES["html_to_text"](spark, str(tmp_path)).select("page_id", "text_sha256", "n_characters").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(catalog.ORACLES["html_to_text"]).fetchall())
+    whole = spark.createDataFrame([("a &amp b &lt",)], "h string").select(tx.html_text("h"), tx.html_text("h", terminated=True)).first()
+    assert tuple(whole) == ("a & b <", "a &amp b &lt")  # mail decodes what HTML decodes
+
+
 def test_segments_fit_and_cover(spark):
     rows = catalog.QUERIES["oversize_segments"](spark, FOLDER).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}

@@ -10,10 +10,12 @@ grows.  A piece (one match of the pattern) is encoded by halving it down to
 leaves and joining up the tree; a text is the concatenation of its pieces.
 Decoding concatenates up the same kind of tree.
 
-Two shortcuts change no result.  A single space between two non-spaces always
+Three shortcuts change no result.  A single space between two non-spaces always
 starts a match (the pattern's only way past it begins there), so a text is cut
 at such spaces and the encoding of every such chunk is remembered by a worker, up
-to ``REMEMBER`` chunks.  Pairs of tokens found to agree are remembered likewise.
+to twice ``REMEMBER`` chunks and matches.  Small nodes of the trees, windows of joins,
+and what two neighbouring tokens become are remembered likewise.  A match taken alone is
+one match, so chunks and matches share what is remembered.
 """
 
 from __future__ import annotations
@@ -30,22 +32,20 @@ from pyspark.sql import DataFrame
 
 from docmill.llm.runtime import kept, map_texts
 
-#: Bytes of a leaf, encoded by plain merging.
-LEAF = 8
-#: Remembered chunks, and as many pieces, leaves and token pairs, a worker; the older half goes when that many are exceeded.
-REMEMBER = 300_000
+#: Bytes of a leaf, encoded by plain merging: so few that most leaves have been met before.
+LEAF = 4
+#: Bytes of the longest node of a tree, or window of a join, that is remembered.
+NODE = 8
+#: Remembered nodes, as many token pairs, and twice as many chunks and matches, a worker; the older half goes when that many are exceeded.
+REMEMBER = 200_000
 #: The rank of what is no token.
 NONE = 1 << 60
 
 
-class Memory(dict):
-    """A dict that forgets its older half when it is full."""
-
-    def __setitem__(self, key, value) -> None:
-        if len(self) >= REMEMBER:
-            for old in list(itertools.islice(self, REMEMBER // 2)):
-                del self[old]
-        dict.__setitem__(self, key, value)
+def forget(memory: dict) -> None:
+    """Drop the older half."""
+    for old in list(itertools.islice(memory, len(memory) // 2)):
+        del memory[old]
 
 
 class Encoder:
@@ -53,18 +53,28 @@ class Encoder:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.tokens = {i: t for t, i in self.ranks.items()}
+        self.codes = {i: struct.pack("<I", i) for i in self.tokens}
+        self.longest = max(map(len, self.ranks), default=0)
+        self.beyond = max(self.tokens, default=0) + 1
+        # the bytes of all tokens, one after the other, and where each token's begin and how many they are
+        self.flat = np.frombuffer(b"".join(self.ranks), np.uint8)
+        self.lengths = np.full(self.beyond, -1)  # ids that are no token cannot be decoded
+        self.starts = np.zeros(self.beyond, np.int64)
+        at = 0
+        for token, i in self.ranks.items():
+            self.starts[i], self.lengths[i] = at, len(token)
+            at += len(token)
         self.pieces = regex.compile(pattern).findall
-        self.chunks: dict[str, bytes] = Memory()
-        self.whole: dict[str, list[int]] = Memory()
-        self.leaves: dict[bytes, list[int]] = Memory()
-        self.agreed: dict[tuple[int, int], bool] = Memory()
+        self.known: dict[str, bytes] = {}
+        self.short: dict[bytes, tuple[int, ...]] = {}
+        self.pairs: dict[int, tuple[int, ...]] = {}
 
-    def merge(self, data: bytes) -> list[int]:
+    def merge(self, data: bytes) -> tuple[int, ...]:
         """Encode a few bytes: merge the neighbours whose union has the least rank, leftmost first."""
         get = self.ranks.get
         whole = get(data)
         if whole is not None:
-            return [whole]
+            return (whole,)
         parts = [data[i : i + 1] for i in range(len(data))]
         unions = [get(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
         while unions and (least := min(unions)) < NONE:
@@ -75,85 +85,104 @@ class Encoder:
                 unions[i - 1] = get(parts[i - 1] + parts[i], NONE)
             if i < len(unions):
                 unions[i] = get(parts[i] + parts[i + 1], NONE)
-        return [self.ranks[p] for p in parts]
-
-    def leaf(self, data: bytes) -> list[int]:
-        known = self.leaves.get(data)
-        if known is None:
-            known = self.leaves[data] = self.merge(data)
-        return known
-
-    def agree(self, a: int, b: int) -> bool:
-        """Are two neighbouring tokens their own encoding?"""
-        known = self.agreed.get((a, b))
-        if known is None:
-            known = self.agreed[a, b] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
-        return known
-
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+        return tuple([self.ranks[p] for p in parts])
+
+    def merged(self, data: bytes) -> tuple[int, ...]:
+        """:meth:`merge`, remembered."""
+        return self.short.get(data) or self.kept(data, self.merge(data))
+
+    def kept(self, data: bytes, ids: tuple[int, ...]) -> tuple[int, ...]:
+        if len(data) <= NODE:
+            if len(self.short) >= REMEMBER:
+                forget(self.short)
+            self.short[data] = ids
+        return ids
+
+    def pair(self, a: int, b: int) -> tuple[int, ...]:
+        """The encoding of two neighbouring tokens' bytes; nothing if they are their own encoding."""
+        key = a * self.beyond + b
+        found = self.pairs.get(key)
+        if found is None:
+            found = self.merge(self.tokens[a] + self.tokens[b])
+            if found == (a, b):
+                found = ()
+            if len(self.pairs) >= REMEMBER:
+                forget(self.pairs)
+            self.pairs[key] = found
+        return found
+
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of two neighbours' bytes from their encodings."""
         if not left or not right:
             return left or right
-        if self.agree(left[-1], right[0]):
+        window = self.pair(left[-1], right[0])
+        if not window:
             return left + right
         i = j = 1
         while True:
-            window = self.merge(b"".join(map(self.tokens.__getitem__, left[-i:] + right[:j])))
-            out_left = i >= len(left) or self.agree(left[-i - 1], window[0])
-            out_right = j >= len(right) or self.agree(window[-1], right[j])
+            out_left = i >= len(left) or not self.pair(left[-i - 1], window[0])
+            out_right = j >= len(right) or not self.pair(window[-1], right[j])
             if out_left and out_right:
                 return left[: len(left) - i] + window + right[j:]
             if not out_left:
                 i = min(len(left), i + max(1, i // 2))
             if not out_right:
                 j = min(len(right), j + max(1, j // 2))
+            window = self.merged(b"".join(map(self.tokens.__getitem__, left[-i:] + right[:j])))
 
-    def piece(self, data: bytes) -> list[int]:
+    def piece(self, data: bytes) -> tuple[int, ...]:
         """Encode one piece: its halves, recursively, then their join."""
-        if len(data) <= LEAF:
-            return self.leaf(data)
-        whole = self.ranks.get(data)
-        if whole is not None:
-            return [whole]
-        half = len(data) // 2
-        return self.join(self.piece(data[:half]), self.piece(data[half:]))
+        found = self.short.get(data)
+        if found is not None:
+            return found
+        n = len(data)
+        if n <= LEAF:
+            return self.kept(data, self.merge(data))
+        if n <= self.longest:
+            whole = self.ranks.get(data)
+            if whole is not None:
+                return (whole,)
+        half = n // 2
+        return self.kept(data, self.join(self.piece(data[:half]), self.piece(data[half:])))
+
+    def remembered(self, text: str, ids: bytes) -> bytes:
+        if len(text) <= 64:
+            if len(self.known) >= 2 * REMEMBER:
+                forget(self.known)
+            self.known[text] = ids
+        return ids
+
+    def match(self, text: str) -> bytes:
+        """Encode one match of the pattern; ids as little-endian unsigned 32-bit integers."""
+        return self.remembered(text, b"".join(map(self.codes.__getitem__, self.piece(text.encode()))))
 
     def chunk(self, text: str) -> bytes:
-        """Encode a chunk of whole matches; ids as little-endian unsigned 32-bit integers."""
-        ids: list[int] = []
-        known = self.whole
-        for p in self.pieces(text):
-            found = known.get(p)
-            if found is None:
-                found = self.piece(p.encode())
-                if len(p) <= 64:
-                    known[p] = found
-            ids += found
-        return struct.pack(f"<{len(ids)}I", *ids)
+        """Encode a chunk of whole matches, likewise."""
+        pieces = self.pieces(text)
+        if len(pieces) == 1:
+            return self.match(pieces[0])
+        get = self.known.get
+        return self.remembered(text, b"".join([get(p) or self.match(p) for p in pieces]))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as little-endian unsigned 32-bit integers."""
-        known = self.chunks
-        out: list[bytes] = []
-        add = out.append
-        for c in chunks_of(text):
-            ids = known.get(c)
-            if ids is None:
-                ids = self.chunk(c)
-                if len(c) <= 64:
-                    known[c] = ids
-            add(ids)
-        return b"".join(out)
+        get = self.known.get
+        return b"".join([get(c) or self.chunk(c) for c in chunks_of(text)])
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids, concatenated up a tree whose leaves hold 4,096 tokens."""
-        get = self.tokens.__getitem__
         codes = np.frombuffer(ids, "<u4")
-        parts = [b"".join(map(get, codes[i : i + 4096].tolist())) for i in range(0, len(codes), 4096)] or [b""]
+        parts = [self._bytes(codes[i : i + 4096]) for i in range(0, len(codes), 4096)] or [b""]
         while len(parts) > 1:
             parts = [b"".join(parts[i : i + 2]) for i in range(0, len(parts), 2)]
         return parts[0]
 
+    def _bytes(self, codes: np.ndarray) -> bytes:
+        lengths = self.lengths[codes]
+        ends = np.cumsum(lengths)
+        # the place of each byte of the result among all tokens' bytes
+        return self.flat[np.arange(ends[-1]) + np.repeat(self.starts[codes] - ends + lengths, lengths)].tobytes()
+
 
 def encoder_of(path: str, pattern: str) -> Encoder:
     """The encoder of a Python worker: what it remembers serves the worker's next tasks too."""
@@ -169,6 +198,8 @@ def chunks_of(text: str) -> list[str]:
     words = text.split(" ")
     if len(words) == 1:
         return words if text else []
+    if "" not in words and list(map(str.strip, words)) == words:
+        return [words[0], *[" " + w for w in words[1:]]]
     out = [words[0]]
     before = words[0]
     held = None  # a chunk that goes on

@@ -42,6 +42,30 @@ def test_encoding_equals_the_library(encoder, library):
         assert encoder.decode(ids) == s.encode()
 
 
+def test_new_words_are_merged_little(library, monkeypatch):
+    """Joins use what the comparison of two tokens gave, and trees the nodes that they share."""
+    encoder = bpe.Encoder(PATH, public_tokenizers.PATTERN)
+    merged, merge = [], encoder.merge
+    monkeypatch.setattr(encoder, "merge", lambda data: merged.append(data) or merge(data))
+    rng = random.Random(5)
+    syllables = "re ti en schu bleer ón äu the ie wh ga ou mente si".split()
+    text = " ".join("".join(rng.choices(syllables, k=rng.randint(3, 6))) for _ in range(4000))
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+    assert len(merged) < 2 * len(set(text.split()))
+
+
+def test_memory_is_bounded(library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBER", 50)
+    encoder = bpe.Encoder(PATH, public_tokenizers.PATTERN)
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choices("abcdeéß,'", k=rng.randint(1, 30))) for _ in range(2000))
+    ids = encoder.encode(text)
+    assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text) and encoder.decode(ids) == text.encode()
+    assert len(encoder.known) <= 100 and len(encoder.short) <= 50 and len(encoder.pairs) <= 50
+    with pytest.raises((IndexError, ValueError)):
+        encoder.decode(np.array([10**6], "<u4").tobytes())
+
+
 def test_round_trip_of_documents(spark, library):
     rows = [(1, "Hello  world\n", "x", "c", "c"), (2, None, "x", "c", "c"), (3, "", "x", "c", "c"), (3, "", "x", "c", "c"), (None, "é" * 50_000, "x", "c", "c")]
     got = bpe.round_trip(spark.createDataFrame(rows, DOCS), PATH, public_tokenizers.PATTERN).collect()
